@@ -38,8 +38,8 @@ class JaccardConfig:
     threshold: int = 85
     band: float = 1.2
     split: int = 3
-    rounds: int = 5
-    hubs: int = 4
+    rounds: int = 2
+    hubs: int = 16
     chunk: int = 1 << 21
 
 
@@ -50,6 +50,7 @@ LOWER[65:91] += 32
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 S27, S30, S31 = np.uint64(27), np.uint64(30), np.uint64(31)
 LONG = 64  # bytes; longer words are hashed as a whole
+HALF, LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -61,6 +62,15 @@ def scramble(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> S31)
 
 
+#: A random number for each byte value.
+BYTE = scramble(np.arange(256, dtype=np.uint64))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -85,7 +95,7 @@ def _sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     up, down = _grown(len(data))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(scramble(data.astype(np.uint64)) * up[: len(data)], out=sums[1:])
+        np.cumsum(BYTE[data] * up[: len(data)], out=sums[1:])
         h = scramble((sums[ends] - sums[at]) * down[at] ^ (ends - at).astype(np.uint64))
         for i in np.flatnonzero(ends - at > LONG).tolist():
             h[i] = xxhash.xxh3_64_intdigest(data[at[i] : ends[i]].tobytes())
@@ -99,7 +109,7 @@ def _sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         n = b - a
         if n >= words:
-            out.append(np.unique(shingle[a : b - words + 1]))
+            out.append(distinct(shingle[a : b - words + 1]))
         elif n:
             out.append(np.array([xxhash.xxh3_64_intdigest(h[a:b].tobytes(), seed=n)], np.uint64))
         else:
@@ -158,11 +168,11 @@ class Bands:
         if not k:
             return np.zeros(0, np.uint64)
         parts, split = (k + 2) // 2, self.config.split
-        g = scramble(shingles)
-        cell = ((g >> np.uint64(32)) % np.uint64(parts) * np.uint64(split) + (g & np.uint64(0xFFFF)) % np.uint64(split)).astype(np.int64)
         sums = np.zeros(parts * split, np.uint64)
         with np.errstate(over="ignore"):
-            np.add.at(sums, cell, scramble(g ^ C))
+            g = shingles * C  # shingles are well mixed already
+            part, within = ((g >> HALF) * np.uint64(parts)) >> HALF, ((shingles & LOW) * np.uint64(split)) >> HALF
+            np.add.at(sums, (part * np.uint64(split) + within).astype(np.int64), g ^ (g >> S31))
             grid = sums.reshape(parts, split)
             rest = grid.sum(1, dtype=np.uint64)[:, None] - grid
             place = np.arange(parts * split, dtype=np.uint64) + np.uint64(band) * np.uint64(1 << 40)
@@ -303,23 +313,25 @@ def verified(pairs: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFr
 def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, comp): the smallest id that is reachable over ``links`` (a, b), for ids that have a link.
 
-    Smallest labels spread over the links and then over the labels themselves, so that the rounds
-    grow with the logarithm of a component's diameter.
+    A label spreads to the neighbours and to the node that was their label before, and labels are
+    followed once more at each step, so that the steps grow with the logarithm of a component.
     """
     ways = scratch.keep(links.select("a", "b").union(links.select("b", "a")).distinct())
     label = scratch.keep(ways.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")))
     while True:
         seen = ways.join(label.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
-        step = label.join(seen, "id").select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("mid"))
+        both = label.join(seen, "id")
+        told = label.select("id", F.col("comp").alias("old"), "comp").union(both.select("id", F.lit(None).cast("long"), "m")).union(both.where("comp <> m").select(F.col("comp"), F.lit(None).cast("long"), "m"))
+        step = told.groupBy("id").agg(F.max("old").alias("old"), F.min("comp").alias("mid"))
         jump = step.select(F.col("id").alias("mid"), F.col("mid").alias("far"))
-        after = step.join(jump, "mid", "left").select("id", F.least("mid", F.coalesce("far", "mid")).alias("comp"), "old")
-        after = scratch.keep(after)
+        after = scratch.keep(step.join(jump, "mid", "left").select("id", F.least("mid", F.coalesce("far", "mid")).alias("comp"), "old"))
         changed = after.where("comp <> old").limit(1).count()
         scratch.drop(label)
-        label = after
+        label = after.select("id", "comp")
+        label._scratch = after._scratch
         if not changed:
             scratch.drop(ways)
-            return after.select("id", "comp")
+            return label
 
 
 def link_components(df: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
@@ -384,8 +396,8 @@ def link_components(df: DataFrame, config: JaccardConfig = JaccardConfig()) -> D
         if not members.limit(1).count():
             break
         w = Window.partitionBy("sig")
-        hub = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("hub"), F.col("comp").alias("to"))).over(w)
-        asks = mixed.withColumn("_hub", hub).where("comp <> _hub.to").select("cls", F.col("_hub.hub").alias("hub"), F.col("_hub.h").alias("h")).distinct()
+        hub = F.min(F.struct(F.xxhash64("cls", "sig", F.lit(turn)).alias("h"), F.col("cls").alias("hub"), F.col("comp").alias("to"))).over(w)
+        asks = mixed.withColumn("_hub", hub).where("comp <> _hub.to").select("cls", F.col("_hub.hub").alias("hub")).distinct()
         chosen = asks.withColumn("_r", F.row_number().over(Window.partitionBy("cls").orderBy(F.xxhash64("cls", "hub", F.lit(turn))))).where(F.col("_r") <= config.hubs)
         pairs = chosen.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
         add(verified(pairs, sets, config))
