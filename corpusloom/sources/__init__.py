@@ -1 +1 @@
-"""The sources of the engine."""
+"""Sources of the engine."""
