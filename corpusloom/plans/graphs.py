@@ -41,10 +41,10 @@ def verify_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part to supplier, as one set of nodes: suppliers are negative."""
     rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 45")
-    return rows.select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst")).distinct()
+    return rows.select(F.col("l_partkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst")).distinct()
 
 
-EDGES = "e AS (SELECT DISTINCT l_partkey AS src, -l_suppkey AS dst FROM lineitem WHERE l_quantity >= 45)"
+EDGES = "e AS (SELECT DISTINCT l_partkey AS src, -1 - l_suppkey AS dst FROM lineitem WHERE l_quantity >= 45)"
 
 
 def semantic_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def semantic_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orphan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges kept and dropped when some parts and suppliers are missing."""
     edges = _edges(spark, sf_dir)
-    nodes = table(spark, sf_dir, "part").where("p_size % 5 <> 0").select(F.col("p_partkey").alias("id")).union(table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(-F.col("s_suppkey")))
+    nodes = table(spark, sf_dir, "part").where("p_size % 5 <> 0").select(F.col("p_partkey").alias("id")).union(table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(-1 - F.col("s_suppkey")))
     kept = G.without_orphans(edges, nodes)
     return edges.agg(F.count(F.lit(1)).alias("total")).join(kept.agg(F.count(F.lit(1)).alias("kept"), F.sum("src").alias("src_sum")))
 
@@ -254,7 +254,7 @@ SQL = {
     "optional_collect": "SELECT c_custkey, count(o_orderkey) AS n, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey), '') AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority = '1-URGENT' GROUP BY 1",
     "verify_ids": "SELECT c_custkey * 7 AS cited, EXISTS (SELECT 1 FROM orders WHERE o_orderkey = c_custkey * 7) AS found FROM customer",
     "semantic_expand": "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_partkey)::BIGINT AS parts FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH') GROUP BY ALL",
-    "orphan_filter": f"WITH {EDGES}, k AS (SELECT * FROM e WHERE src IN (SELECT p_partkey FROM part WHERE p_size % 5 <> 0) AND -dst IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0)) SELECT (SELECT count(*) FROM e) AS total, count(*) AS kept, sum(src)::BIGINT AS src_sum FROM k",
+    "orphan_filter": f"WITH {EDGES}, k AS (SELECT * FROM e WHERE src IN (SELECT p_partkey FROM part WHERE p_size % 5 <> 0) AND -1 - dst IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0)) SELECT (SELECT count(*) FROM e) AS total, count(*) AS kept, sum(src)::BIGINT AS src_sum FROM k",
     "uncovered": f"WITH {EDGES} SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT src FROM e)",
     "multi_hop": f"""WITH RECURSIVE {EDGES}, w AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 x(seed, node, hop) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 400 = 1 UNION SELECT seed, dst, hop + 1 FROM x JOIN w ON src = node WHERE hop < 3),
