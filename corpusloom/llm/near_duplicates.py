@@ -414,8 +414,8 @@ def link_components(df: DataFrame, config: JaccardConfig = JaccardConfig()) -> D
         classes = classes.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     else:
         classes = classes.withColumn("comp", F.col("cls"))
-    least = classes.select("cls", F.min("doc_id").over(Window.partitionBy("comp")).alias("_least"))
-    least = scratch.keep(least)
+    lowest = classes.groupBy("comp").agg(F.min("doc_id").alias("_least"))  # partial sums first, as a component may be large
+    least = scratch.keep(classes.join(lowest, "comp").select("cls", "_least"))
     # large classes are joined by broadcast or by a split skewed join; null ids and empty sets stay alone
     linked = prints.where("n_shingles > 0 and doc_id is not null").join(least, "cls").select("doc_id", "n_shingles", F.col("_least").alias("component_id"))
     alone = prints.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
