@@ -240,6 +240,12 @@ def signature_rows(df: DataFrame, config: JaccardConfig, seed: int) -> DataFrame
     return df.select("text").mapInArrow(run, "sig long, cls long")
 
 
+def apart(groups: DataFrame) -> DataFrame:
+    """``groups`` (sig, cls, comp) without those that lie in one component."""
+    w = Window.partitionBy("sig")
+    return groups.select("sig", "cls", "comp", F.min("comp").over(w).alias("_a"), F.max("comp").over(w).alias("_b")).where("_a <> _b").select("sig", "cls", "comp")
+
+
 FILTER_BITS = 1 << 24
 
 
@@ -256,8 +262,11 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def class_sets(docs: DataFrame, reps: DataFrame, config: JaccardConfig) -> DataFrame:
-    """(cls, n, sketch, items) of each class in ``reps`` (cls, doc_id), from its representative's text."""
+def class_sets(docs: DataFrame, reps: DataFrame, config: JaccardConfig, seed: int, buckets: int) -> DataFrame:
+    """(cls, n, sketch, items) of each class in ``reps`` (cls, doc_id), from its representative's text.
+
+    The sets are dealt by class into ``buckets`` partitions and stay there.
+    """
     spark = docs.sparkSession
     wanted = spark.sparkContext.broadcast(id_filter(reps, "doc_id"))
 
@@ -270,12 +279,13 @@ def class_sets(docs: DataFrame, reps: DataFrame, config: JaccardConfig) -> DataF
                 continue
             rows = batch.take(pa.array(keep))
             got = list(shingle_sets(rows.column("text").to_pylist(), config.words, config.chunk))
+            prints = [_prints(s, seed)[0] for s in got]
             sketches = [bands.sketch(s) for s in got]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "items", "sketch"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(prints, pa.int64()), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["_doc", "cls", "items", "sketch"])
 
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    rows = docs.select("doc_id", "text", bit.alias("_bit")).mapInArrow(run, "doc_id long, items array<bigint>, sketch array<bigint>")
-    found = reps.join(rows, "doc_id")
+    rows = docs.select("doc_id", "text", bit.alias("_bit")).mapInArrow(run, "_doc long, cls long, items array<bigint>, sketch array<bigint>")
+    found = rows.repartition(buckets, "cls").join(reps, "cls").where("_doc = doc_id").dropDuplicates(["cls"])
     return found.select("cls", F.size("items").cast("long").alias("n"), "sketch", "items")
 
 
@@ -369,7 +379,8 @@ def link_components(df: DataFrame, config: JaccardConfig = JaccardConfig()) -> D
     taken = members.select("cls").distinct()
     reps = scratch.keep(classes.select("cls", "doc_id").join(taken, "cls"))
     name = f"jaccard_{uuid.uuid4().hex}"
-    class_sets(known, reps, config).write.option("compression", "none").bucketBy(max(12, min(4096, buckets_for(reps.count()))), "cls").format("parquet").saveAsTable(name)
+    buckets = max(12, min(4096, buckets_for(reps.count())))
+    class_sets(known, reps, config, seed, buckets).write.option("compression", "none").bucketBy(buckets, "cls").format("parquet").saveAsTable(name)
     sets = spark.table(name)
     links, comp = None, None
 
@@ -379,8 +390,7 @@ def link_components(df: DataFrame, config: JaccardConfig = JaccardConfig()) -> D
             out = m.withColumn("comp", F.col("cls"))
         else:
             out = m.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        w = Window.partitionBy("sig")
-        return out.select("sig", "cls", "comp", F.min("comp").over(w).alias("_a"), F.max("comp").over(w).alias("_b")).where("_a <> _b").select("sig", "cls", "comp")
+        return apart(out.select("sig", "cls", "comp"))
 
     def add(found: DataFrame) -> None:
         nonlocal links, comp
