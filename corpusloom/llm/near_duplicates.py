@@ -262,10 +262,10 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def class_sets(docs: DataFrame, reps: DataFrame, config: JaccardConfig, seed: int, buckets: int) -> DataFrame:
-    """(cls, n, sketch, items) of each class in ``reps`` (cls, doc_id), from its representative's text.
+def class_sets(docs: DataFrame, reps: DataFrame, config: JaccardConfig, seed: int, buckets: int, what: str) -> DataFrame:
+    """(cls, n, ``what``) of each class in ``reps`` (cls, doc_id), from its representative's text.
 
-    The sets are dealt by class into ``buckets`` partitions and stay there.
+    ``what`` is "sketch" or "items". The rows are dealt once, by class, into ``buckets`` partitions.
     """
     spark = docs.sparkSession
     wanted = spark.sparkContext.broadcast(id_filter(reps, "doc_id"))
@@ -280,44 +280,47 @@ def class_sets(docs: DataFrame, reps: DataFrame, config: JaccardConfig, seed: in
             rows = batch.take(pa.array(keep))
             got = list(shingle_sets(rows.column("text").to_pylist(), config.words, config.chunk))
             prints = [_prints(s, seed)[0] for s in got]
-            sketches = [bands.sketch(s) for s in got]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(prints, pa.int64()), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["_doc", "cls", "items", "sketch"])
+            sizes = pa.array([len(s) for s in got], pa.int64())
+            kept = [s.view(np.int64) if what == "items" else bands.sketch(s) for s in got]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(prints, pa.int64()), sizes, pa.array(kept, pa.list_(pa.int64()))], names=["_doc", "cls", "n", what])
 
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    rows = docs.select("doc_id", "text", bit.alias("_bit")).mapInArrow(run, "_doc long, cls long, items array<bigint>, sketch array<bigint>")
-    found = rows.repartition(buckets, "cls").join(reps, "cls").where("_doc = doc_id").dropDuplicates(["cls"])
-    return found.select("cls", F.size("items").cast("long").alias("n"), "sketch", "items")
+    rows = docs.select("doc_id", "text", bit.alias("_bit")).mapInArrow(run, f"_doc long, cls long, n long, {what} array<bigint>")
+    found = rows.repartition(buckets, "cls").join(reps.repartition(buckets, "cls").hint("merge"), "cls").where("_doc = doc_id").dropDuplicates(["cls"])
+    return found.select("cls", "n", what)
 
 
 def can_link(a: Column, b: Column, threshold: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
 
 
-def verified(pairs: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar enough.
+def met(pairs: DataFrame, sets: DataFrame, what: str, threshold: int) -> DataFrame:
+    """``pairs`` (a, b) with both classes' sizes (na, nb) and ``what`` (xa, xb), if the sizes allow a link."""
+    one = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col(what).alias("xa"))
+    two = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col(what).alias("xb"))
+    return pairs.join(one, "a").join(two, "b").where(can_link(F.col("na"), F.col("nb"), threshold))
 
-    ``sets`` is stored in buckets by class, so that only the pairs move, with sketches first and
-    with whole sets for the few that are left.
-    """
-    t = config.threshold
 
-    def both(p: DataFrame, what: str) -> DataFrame:
-        one = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col(what).alias("xa"))
-        two = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col(what).alias("xb"))
-        return p.join(one, "a").join(two, "b").where(can_link(F.col("na"), F.col("nb"), t))
+def alike(pairs: DataFrame, sketches: DataFrame, config: JaccardConfig) -> DataFrame:
+    """``pairs`` (a, b) without those that their sketches rule out."""
+    t = config.threshold
 
     def folded(x: Column, size: Column) -> Column:
         half = F.floor(F.size(x) / 2).cast("int")
         return F.when(F.size(x) > size, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
 
-    near = both(pairs, "sketch")
+    near = met(pairs, sketches, "sketch", t)
     size = F.least(F.size("xa"), F.size("xb"))
     flips = F.aggregate(F.zip_with(folded(F.col("xa"), size), folded(F.col("xb"), size), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda acc, x: acc + x)
     total = F.col("na") + F.col("nb")
     most = total - 2 * F.ceil(total * t / (100 + t) - 1e-6)
-    near = near.where(flips <= most).select("a", "b")
-    common = F.size(F.array_intersect("xa", "xb"))
-    return both(near, "items").where(100 * common >= t * (total - common)).select("a", "b")
+    return near.where(flips <= most).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets are similar enough."""
+    common, total = F.size(F.array_intersect("xa", "xb")), F.col("na") + F.col("nb")
+    return met(pairs, sets, "items", config.threshold).where(100 * common >= config.threshold * (total - common)).select("a", "b")
 
 
 def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -378,12 +381,27 @@ def link_components(df: DataFrame, config: JaccardConfig = JaccardConfig()) -> D
     scratch.drop(rows)
     taken = members.select("cls").distinct()
     reps = scratch.keep(classes.select("cls", "doc_id").join(taken, "cls"))
-    name = f"jaccard_{uuid.uuid4().hex}"
     buckets = max(12, min(4096, buckets_for(reps.count())))
-    class_sets(known, reps, config, seed, buckets).write.option("compression", "none").bucketBy(buckets, "cls").format("parquet").saveAsTable(name)
-    sets = spark.table(name)
     links, comp = None, None
 
+    def stored(of: DataFrame, what: str) -> tuple[DataFrame, str]:
+        """``class_sets`` as a table in buckets by class, so that only pairs move; and its name."""
+        name = f"jaccard_{uuid.uuid4().hex}"
+        class_sets(known, of, config, seed, buckets, what).write.option("compression", "none").bucketBy(buckets, "cls").format("parquet").saveAsTable(name)
+        return spark.table(name), name
+
+    def linked_pairs(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` that link. Whole sets are gathered of what the sketches leave only."""
+        near = scratch.keep(alike(pairs, sketches, config))
+        met_here = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
+        items, name = stored(reps.join(met_here, "cls", "left_semi"), "items")
+        out = scratch.keep(verified(near, items, config))
+        spark.sql(f"DROP TABLE {name}")
+        scratch.drop(near)
+        return out
+
+    sketches, sketch_table = stored(reps, "sketch")
+
     def placed(m: DataFrame) -> DataFrame:
         """``m`` with each class's component, without signatures that lie in one component."""
         if comp is None:
@@ -394,7 +412,6 @@ def link_components(df: DataFrame, config: JaccardConfig = JaccardConfig()) -> D
 
     def add(found: DataFrame) -> None:
         nonlocal links, comp
-        found = scratch.keep(found)
         links = found if links is None else scratch.keep(links.union(found))
         comp = components(reps, links, scratch)
 
@@ -410,15 +427,15 @@ def link_components(df: DataFrame, config: JaccardConfig = JaccardConfig()) -> D
         asks = mixed.withColumn("_hub", hub).where("comp <> _hub.to").select("cls", F.col("_hub.hub").alias("hub")).distinct()
         chosen = asks.withColumn("_r", F.row_number().over(Window.partitionBy("cls").orderBy(F.xxhash64("cls", "hub", F.lit(turn))))).where(F.col("_r") <= config.hubs)
         pairs = chosen.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-        add(verified(pairs, sets, config))
+        add(linked_pairs(pairs))
     else:
         rest = scratch.keep(placed(members))
-        sized = rest.join(sets.select("cls", "n"), "cls")
+        sized = rest.join(sketches.select("cls", "n"), "cls")
         one = sized.select("sig", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("ma"))
         two = sized.select("sig", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("mb"))
-        met = one.join(two, (one["sig"] == two["sig"]) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & can_link(F.col("ma"), F.col("mb"), config.threshold))
-        add(verified(met.select("a", "b").distinct(), sets, config))
-    spark.sql(f"DROP TABLE {name}")
+        left = one.join(two, (one["sig"] == two["sig"]) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & can_link(F.col("ma"), F.col("mb"), config.threshold))
+        add(linked_pairs(left.select("a", "b").distinct()))
+    spark.sql(f"DROP TABLE {sketch_table}")
     # components of classes become components of documents
     if comp is not None:
         classes = classes.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
