@@ -8,8 +8,12 @@ out: two sets that are similar enough agree on one such subset at least, and sha
 
 Within the classes that share a signature no pairs are enumerated at once. In a few rounds every
 class is compared with some hubs of its signatures that lie in another component; what is joined
-already needs no comparison. Whatever pairs are left between different components after that are
-all compared. Comparisons look at a parity sketch first (it never rejects a similar pair), then at
+already needs no comparison. Signatures that many unlinked classes still share, as the near misses
+of one text do, are split by pivots: the smallest set p of such a group is compared with all of it.
+If x doesn't link with p, and y is no smaller than p, then x and y link only if they share a
+shingle outside p (else p would hold as much of x as y does, and link). So the group's pairs are
+found among those that share p and such a shingle, which are groups again, until they are small.
+All pairs that are left between different components are then compared. Comparisons look at a parity sketch first (it never rejects a similar pair), then at
 the whole sets.
 """
 
@@ -18,6 +22,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,7 @@ from .common import Scratch, buckets_for, small_batches
 class JaccardConfig:
     """``threshold`` per cent. ``band``: ratio of a size band's bounds. ``split``: second-level parts;
     more make signatures more selective and more numerous. ``rounds`` and ``hubs``: of comparisons
-    before all remaining pairs are compared."""
+    before pivots split groups of more than ``few`` classes, ``levels`` times at most."""
 
     words: int = 4
     threshold: int = 85
@@ -40,6 +45,8 @@ class JaccardConfig:
     split: int = 3
     rounds: int = 2
     hubs: int = 16
+    few: int = 16
+    levels: int = 4
     chunk: int = 1 << 21
 
 
@@ -390,6 +397,24 @@ def link_components(df: DataFrame, config: JaccardConfig = JaccardConfig()) -> D
         class_sets(known, of, config, seed, buckets, what).write.option("compression", "none").bucketBy(buckets, "cls").format("parquet").saveAsTable(name)
         return spark.table(name), name
 
+    def split_by_pivots(groups: DataFrame) -> DataFrame:
+        """(sig, cls) in which each pair of ``groups`` (sig, cls, m, n) that may still link meets again."""
+        w = Window.partitionBy("sig")
+        pivot = F.min(F.struct("n", F.xxhash64("cls").alias("h"), F.col("cls").alias("id"))).over(w)["id"]
+        asks = scratch.keep(groups.select(F.col("cls").alias("a"), pivot.alias("b")).distinct())
+        items, name = stored(reps.join(asks.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi"), "items")
+        one = items.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("items").alias("xa"))
+        two = items.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("items").alias("xb"))
+        found = asks.join(one, "a").join(two, "b").select("a", "b", "na", "nb", F.array_except("xa", "xb").alias("more"))
+        found = scratch.keep(found)
+        spark.sql(f"DROP TABLE {name}")
+        common = F.col("na") - F.size("more")
+        add(scratch.keep(found.where(F.col("a") != F.col("b")).where(100 * common >= config.threshold * (F.col("na") + F.col("nb") - common)).select("a", "b")))
+        met_again = found.select(F.col("a").alias("cls"), "b", F.explode("more").alias("z"))
+        out = scratch.keep(met_again.select(F.xxhash64("b", "z").alias("sig"), "cls"))
+        scratch.drop(asks, found)
+        return out
+
     def linked_pairs(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` that link. Whole sets are gathered of what the sketches leave only."""
         near = scratch.keep(alike(pairs, sketches, config))
@@ -429,7 +454,17 @@ def link_components(df: DataFrame, config: JaccardConfig = JaccardConfig()) -> D
         pairs = chosen.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
         add(linked_pairs(pairs))
     else:
-        rest = scratch.keep(placed(members))
+        small = []
+        for level in range(config.levels + 1):
+            sizes = placed(members).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("sig")))
+            rest = scratch.keep(sizes.join(sketches.select("cls", "n"), "cls"))
+            large = rest.where(F.col("m") > config.few)
+            if level == config.levels or not large.limit(1).count():
+                small.append(rest.select("sig", "cls"))
+                break
+            small.append(rest.where(F.col("m") <= config.few).select("sig", "cls"))
+            members = split_by_pivots(large)
+        rest = scratch.keep(placed(reduce(DataFrame.union, small)))
         sized = rest.join(sketches.select("cls", "n"), "cls")
         one = sized.select("sig", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("ma"))
         two = sized.select("sig", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("mb"))
