@@ -82,23 +82,6 @@ def test_components(spark):
     assert sum(r.doc_id is None for r in kept) == 2
 
 
-def test_pivots(spark):
-    rng, rows = random.Random(9), []
-    base = [f"b{i}" for i in range(60)]
-    for i in range(90):
-        w = list(base[: rng.choice((56, 58, 60))])
-        for _ in range(rng.choice((1, 1, 2, 2, 3))):
-            w[rng.randrange(9) * 6] = f"v{rng.randrange(3)}"
-        rows.append((i, " ".join(w)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = truth(rows)
-    assert 5 < len({c for _, _, c in want}) < 75
-    for few, levels in ((2, 3), (4, 1)):
-        config = nd.JaccardConfig(rounds=0, few=few, levels=levels)
-        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nd.link_components(df, config).collect()), key=str)
-        assert got == want
-
-
 def test_without_rounds(spark):
     rows = corpus(4)[:300]
     df = spark.createDataFrame(rows, "doc_id long, text string")
