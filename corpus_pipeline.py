@@ -12,6 +12,9 @@ from corpusloom.llm.queries import TOKENIZER
 #: A text that the best language codes no shorter than raw bytes isn't in a language.
 RAW_BITS = 8.0
 
+#: Near-duplicates here share four fifths of their five-word shingles; op8's contract has bounds of its own.
+NEAR = near_duplicates.JaccardConfig(words=5, threshold=80)
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language, labelled with the one that was found."""
@@ -23,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return near_duplicates.keep_one(docs).select(*docs.columns)
+    return near_duplicates.keep_one(docs, NEAR).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
