@@ -38,8 +38,8 @@ def _post(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _asked(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:
-    return sparse.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", n)
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_okapi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse.bm25(_asked(spark, sf_dir, 8), _post(spark, sf_dir), 10, 1.5, 0.75, okapi=True)
+    return sparse.bm25(_asked(spark, sf_dir), _post(spark, sf_dir), 10, 1.5, 0.75, okapi=True)
 
 
 def sparse_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +84,8 @@ def mean_pool_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two rankings of documents for truncated queries: BM25 and term-count cosine."""
-    q, p = _asked(spark, sf_dir, 5), _post(spark, sf_dir)
+    """Two rankings of documents for whole queries: BM25 and term-count cosine."""
+    q, p = _asked(spark, sf_dir), _post(spark, sf_dir)
     return sparse.bm25(q, p, 30), sparse.cosine(q, p, 30)
 
 
@@ -124,7 +124,7 @@ def hybrid_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 candidates scored again by the part of the query's distinct terms they hold, as a logistic."""
-    q, p = _asked(spark, sf_dir, 8), _post(spark, sf_dir)
+    q, p = _asked(spark, sf_dir), _post(spark, sf_dir)
     pool = sparse.bm25(q, p, 15).select("query_id", "doc")
     terms = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
     hits = pool.join(q.select("query_id", "term"), "query_id").join(p.select("doc", "term"), ["doc", "term"]).groupBy("query_id", "doc").agg(F.count(F.lit(1)).alias("h"))
@@ -247,7 +247,7 @@ def ontology_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted concept, source and keyword evidence, widened to documents of the same source by a quarter."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang", "source")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    words = sparse.overlap(_asked(spark, sf_dir, 6), _post(spark, sf_dir), 20).select("query_id", "doc", "score")
+    words = sparse.overlap(_asked(spark, sf_dir), _post(spark, sf_dir), 20).select("query_id", "doc", "score")
     top = F.max("score").over(Window.partitionBy("query_id"))
     parts = words.select("query_id", "doc", (F.col("score") / top).alias("part"))
     concept = words.join(docs, "doc").select("query_id", "doc", F.when(F.col("lang") == "en", 3 * 1.35).otherwise(F.lit(2.0)).alias("part"))
