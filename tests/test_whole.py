@@ -18,7 +18,7 @@ def small(tmp_path_factory):
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
     vector = lambda label: [x + 0.4 * (i == label) for i, x in enumerate(rng.gauss(0, 0.3) for _ in range(8))]
     unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
-    order = [(i, rng.randint(1, 12), rng.choice(["1-URGENT", "2-HIGH", "3-MEDIUM"]), rng.choice("OFP"), rng.uniform(1, 900)) for i in range(1, 181)]
+    order = [(i, rng.randint(1, 4), rng.choice(["1-URGENT", "2-HIGH", "3-MEDIUM"]), rng.choice("OFP"), rng.uniform(1, 900)) for i in range(1, 181)]
     line = [(o[0], n, rng.randint(1, 30), rng.randint(1, 6), float(rng.randint(1, 50)), rng.choice("ANR")) for o in order for n in range(1, rng.randint(1, 3) + 1)]
     tables = {
         "documents": pd.DataFrame([(i, text(rng.randint(20, 90)), rng.choice(["en", "de"]), f"src{i % 20}") for i in range(60)], columns=["doc_id", "text", "lang", "source"]),
@@ -63,3 +63,28 @@ def same(spark, small, name, *cuts):
 @pytest.mark.parametrize("name,cut", [("bm25_okapi", "[1:8]"), ("rerank_lexical", "[1:8]"), ("rrf_fusion", "[1:5]"), ("weighted_fusion", "[1:5]"), ("hybrid_temporal", "[1:5]"), ("ontology_score", "[1:6]")])
 def test_whole_benchmark_texts_are_asked(spark, small, name, cut):
     same(spark, small, name, cut)
+
+
+LINES, PARTS, ORDERS = " WHERE l_quantity >= 45", " WHERE p_partkey % 10 = 0", " WHERE a.o_orderkey % 20 = 1"
+
+
+@pytest.mark.parametrize("name,cut", [("degree", LINES), ("uncovered", LINES), ("orphan_filter", LINES), ("parse_id", " WHERE l_orderkey % 10 = 1"), ("article_ranges", PARTS), ("proximity_candidates", ORDERS), ("upsert_edges", " WHERE o_orderkey % 3 = 0")])
+def test_whole_tables_are_read(spark, small, name, cut):
+    assert same(spark, small, name, cut)
+
+
+def test_every_part_is_a_seed(spark, small):
+    lines, parts = pd.read_parquet(f"{small}/lineitem.parquet"), pd.read_parquet(f"{small}/part.parquet")
+    near = {}
+    for a, b in zip(lines.l_partkey.tolist(), (-1 - lines.l_suppkey).tolist()):
+        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    want = []
+    for seed in parts.p_partkey.tolist():
+        seen = front = {seed}
+        for hop in (1, 2, 3):
+            front = {y for x in front for y in near.get(x, ())} - seen
+            seen = seen | front
+            if front:
+                want.append((seed, hop, len(front), sum(front)))
+    got = catalogue.queries()["multi_hop"](spark, small).collect()
+    assert sorted((r.seed, r.hop, r.nodes, r.node_sum) for r in got) == sorted(want)
