@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import text as T
 from ..operators import documents as D
 from ..operators import extract as E
 from ..operators import graph as G
+from ..operators.dense import dense_pairs
 from ..sources.tables import table
 
 CORPUS = ["src0", "src1", "src2"]
@@ -181,12 +184,23 @@ def threshold_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.thresholds(text), "|").alias("found"))
 
 
-def pair_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a vector and others in a similarity band: same label positive, other labels negative, 3 of each."""
-    from .retrieval import _pairs
+def _first_in_band(a: np.ndarray, b: np.ndarray, sim: np.ndarray, other: np.ndarray, la: np.ndarray, lb: np.ndarray, _: np.ndarray, order: np.ndarray) -> pd.DataFrame:
+    at = np.argsort(order, kind="stable")
+    fits = (other & (sim >= 0.30) & (sim <= 0.85))[:, at]
+    same = (la[:, None] == lb[None, :])[:, at]
+    out = []
+    for rel in (True, False):
+        mine = fits & (same == rel)
+        q, c = np.nonzero(mine & (mine.cumsum(axis=1) <= 3))
+        out.append(pd.DataFrame({"query_id": a[q], "vec_id": b[at[c]], "rel": rel, "sim": sim[q, at[c]], "draw": order[at[c]]}))
+    return pd.concat(out)
+
 
-    rows = _pairs(spark, sf_dir).where("sim between 0.30 and 0.85")
-    w = Window.partitionBy("query_id", "rel").orderBy(F.sha2(F.concat(F.lit("42:"), F.col("vec_id").cast("string")), 256))
+def pair_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of each vector and others in a similarity band: same label positive, other labels negative, 3 of each."""
+    drawn = table(spark, sf_dir, "embeddings").withColumn("draw", F.sha2(F.concat(F.lit("42:"), F.col("vec_id").cast("string")), 256))
+    rows = dense_pairs(drawn, _first_in_band, "query_id long, vec_id long, rel boolean, sim double, draw string", also=("label", "draw"))
+    w = Window.partitionBy("query_id", "rel").orderBy("draw")
     return rows.withColumn("place", F.row_number().over(w)).where("place <= 3").select("query_id", "vec_id", "rel", "sim")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..functions.vectors import dot, norm
+from ..functions.vectors import norm
 from ..operators import citations, dense, ranking, sparse
 from ..sources.tables import table
 
@@ -175,24 +177,38 @@ def probe_hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), hit(1), hit(5), hit(10), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 4).alias("mrr"), F.round(F.avg(F.col("first").isNull().cast("double")), 4).alias("zero_recall"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, v = _vectors(spark, sf_dir, 25)
-    q = q.select("query_id", F.col("embedding").alias("qe"), F.col("label").alias("ql"))
-    return q.join(v, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", (F.col("ql") == F.col("label")).alias("rel"), F.round(dot(F.col("qe"), F.col("embedding")), 6).alias("sim"))
+PAIRS = "d AS (SELECT a.vec_id AS query_id, b.vec_id, a.label = b.label AS rel, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 25 = 0 AND a.vec_id <> b.vec_id)"
 
 
-PAIRS = "d AS (SELECT a.vec_id AS query_id, b.vec_id, a.label = b.label AS rel, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 25 = 0 AND a.vec_id <> b.vec_id)"
+def _gap_sums(a: np.ndarray, b: np.ndarray, sim: np.ndarray, other: np.ndarray, la: np.ndarray, lb: np.ndarray) -> pd.DataFrame:
+    same, out = la[:, None] == lb[None, :], []
+    for rel in (True, False):
+        x = sim[other & (same == rel)]
+        if len(x):
+            out.append((rel, len(x), x.min(), x.max(), x.sum(), ((x - x.mean()) ** 2).sum()))
+    return pd.DataFrame(out, columns=["rel", "n", "lo", "hi", "total", "around"])
 
 
 def score_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of relevant and other vectors: least, most, mean, deviation."""
-    s = F.col("sim")
-    return _pairs(spark, sf_dir).groupBy("rel").agg(F.count(F.lit(1)).alias("n"), F.min(s).alias("lo"), F.max(s).alias("hi"), F.round(F.avg(s), 4).alias("mean"), F.round(F.stddev_samp(s), 4).alias("sd"))
+    """Scores of relevant and other vectors, over all pairs: least, most, mean, deviation."""
+    parts = dense.dense_pairs(table(spark, sf_dir, "embeddings"), _gap_sums, "rel boolean, n long, lo double, hi double, total double, around double", also=("label",))
+    n, total = F.sum("n"), F.sum("total")
+    # squares around the whole mean: those around each block's, and the blocks' means around the whole one
+    squares = F.sum(F.col("around") + F.col("total") * F.col("total") / F.col("n")) - total * total / n
+    sd = F.when(n > 1, F.round(F.sqrt(F.greatest(squares, F.lit(0.0)) / (n - 1)), 4))
+    return parts.groupBy("rel").agg(n.alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.round(total / n, 4).alias("mean"), sd.alias("sd"))
+
+
+def _best_relevant(a: np.ndarray, b: np.ndarray, sim: np.ndarray, other: np.ndarray, la: np.ndarray, lb: np.ndarray) -> pd.DataFrame:
+    rel = other & (la[:, None] == lb[None, :])
+    best = np.where(rel, sim, -np.inf).max(axis=1)
+    return pd.DataFrame({"query_id": a, "best": best})[rel.any(axis=1)]
 
 
 def failure_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries by the similarity band of their best relevant vector, with the upper median."""
-    best = _pairs(spark, sf_dir).where("rel").groupBy("query_id").agg(F.max("sim").alias("best"))
+    """All vectors by the similarity band of their best relevant other vector, with the upper median."""
+    parts = dense.dense_pairs(table(spark, sf_dir, "embeddings"), _best_relevant, "query_id long, best double", also=("label",))
+    best = parts.groupBy("query_id").agg(F.max("best").alias("best"))
     mode = F.when(F.col("best") < 0.55, "far").when(F.col("best") < 0.70, "near").otherwise("close")
     listed = F.array_sort(F.collect_list("best"))
     return best.groupBy(mode.alias("mode")).agg(F.count(F.lit(1)).alias("n"), F.element_at(listed, F.floor(F.size(listed) / 2).cast("int") + 1).alias("median"))

@@ -88,3 +88,11 @@ def test_every_part_is_a_seed(spark, small):
                 want.append((seed, hop, len(front), sum(front)))
     got = catalogue.queries()["multi_hop"](spark, small).collect()
     assert sorted((r.seed, r.hop, r.nodes, r.node_sum) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("block", [2048, 40])
+@pytest.mark.parametrize("name", ["score_gap", "failure_modes", "pair_mining"])
+def test_all_vectors_are_queries(spark, small, name, block, monkeypatch):
+    monkeypatch.setattr("corpusloom.operators.dense.BLOCK", block)
+    got = same(spark, small, name, "a.vec_id % 25 = 0 AND ")
+    assert name != "failure_modes" or len(got) > 1
