@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks and their plain forms, as far as folding without Unicode tables goes.
+# The letters with marks that the queries' SQL folds, and their plain forms.
 MARKED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçđăơư"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuyyncdaou"
 
 
+def _accents() -> tuple[str, str]:
+    """Every letter and digit whose compatibility form is one of a-z, 0-9 with marks, and that; then the marks, to be dropped."""
+    plain = {"đ": "d"}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]):
+        base = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode().lower()
+        if len(base) == 1 and base.isalnum():
+            plain[c] = base
+    return "".join(plain) + "".join(map(chr, range(0x300, 0x370))), "".join(plain.values())
+
+
+ACCENTED, BARE = _accents()
+
+
 def fold(text: Column, keep: str = "") -> Column:
     """Lower case, marks removed, runs of other characters than a-z, 0-9 and ``keep`` as one space."""
-    plain = F.translate(F.lower(text), MARKED, PLAIN)
+    plain = F.translate(F.lower(text), ACCENTED, BARE)
     return F.trim(F.regexp_replace(plain, f"[^a-z0-9{keep}]+", " "))
 
 

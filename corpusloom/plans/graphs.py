@@ -162,8 +162,8 @@ def alias_theta_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 120)
-    return table(spark, sf_dir, "documents").select("doc_id", T.fold(head).alias("folded"), T.slug(head, 40).alias("slug"))
+    """Whole texts folded, and the beginning of their slugs."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"), T.slug(F.col("text"), 40).alias("slug"))
 
 
 def parse_id(spark: SparkSession, sf_dir: str) -> DataFrame:
