@@ -1,4 +1,4 @@
-"""Spans of patterns and aliases in texts, selection among overlapping ones, reference parsing."""
+"""Spans of aliases in texts, selection among overlapping ones, a provenance check, expansion of number ranges."""
 
 from __future__ import annotations
 

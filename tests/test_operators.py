@@ -90,3 +90,10 @@ def test_corpus_errors(spark, tmp_path):
     good, bad = tables.read_corpus(spark, str(tmp_path / "c.jsonl"))
     assert [r.id for r in good.collect()] == ["3"]
     assert sorted(r.reason for r in bad.collect()) == ["bad JSON", "duplicate id", "duplicate id", "missing id", "missing text"]
+
+
+def test_r_precision(spark):
+    ranked = spark.createDataFrame([(1, "a", 1), (1, "x", 2), (1, "y", 3), (1, "b", 4), (2, "q", 1), (4, "m", 1)], "query_id long, doc string, rank int")
+    gold = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (3, "z"), (4, "m"), (4, "n")], "query_id long, doc string")
+    got = {(r.query_id, r.k): r.r_precision for r in ranking.retrieval_metrics(ranked, gold, [1, None], "doc").collect()}
+    assert got == {(q, k): v for q, v in ((1, pytest.approx(1 / 3)), (2, None), (3, 0.0), (4, 0.5)) for k in (1, None)}
