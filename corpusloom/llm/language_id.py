@@ -144,11 +144,15 @@ def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
 def freeze(counts: DataFrame, config: PPMConfig = PPMConfig()) -> PPMModel:
     """Turn context counts into the frozen tables.
 
-    What reaches the driver is bounded by ``max_contexts`` contexts (the most frequent ones) with
-    at most 256 bytes each, for each language of a bounded sample.
+    What reaches the driver is bounded by ``max_contexts`` contexts with at most 256 bytes each, for
+    each language of a bounded sample. Where there are more, languages take turns, each with its
+    shortest and then its most frequent contexts.
     """
     whole = counts.groupBy("length", "context").agg(F.sum("n").alias("t")).where((F.col("t") >= config.min_count) | (F.col("length") == 0))
-    kept = whole.orderBy("length", F.desc("t"), "context").limit(config.max_contexts)
+    own = counts.groupBy("lang", "length", "context").agg(F.sum("n").alias("own")).join(whole, ["length", "context"])
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("length", F.desc("own"), "context"))
+    first = own.withColumn("turn", turn).groupBy("length", "context", "t").agg(F.min("turn").alias("turn"))
+    kept = first.orderBy("turn", "length", F.desc("t"), "context").limit(config.max_contexts)
     got = counts.join(F.broadcast(kept.select("length", "context")), ["length", "context"]).toPandas()
     langs = sorted(got["lang"].unique())
     if not langs:

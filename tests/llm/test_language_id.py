@@ -47,3 +47,16 @@ def test_code_is_a_probability(spark):
     bits = model.cost.reshape(-1, model.symbols, len(model.langs))[:, 1:-1].astype(float) / L.UNIT
     p = (2.0**-bits).sum(1)
     assert (p <= 1.01).all()
+
+
+def test_languages_share_the_contexts(spark):
+    rng = random.Random(4)
+    text = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(i, "big", text("abcdefgh", 400)) for i in range(60)] + [(100 + i, "few", text("wxyz", 400)) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    deep = L.freeze(L.context_counts(df, L.PPMConfig()), L.PPMConfig())
+    config = L.PPMConfig(max_contexts=200)
+    cut = L.freeze(L.context_counts(df, config), config)
+    few = [text("wxyz", 300).encode()]
+    assert len(cut.cost) // cut.symbols == 200 < len(deep.cost) // deep.symbols
+    assert (cut.lengths(few)[0, cut.langs.index("few")]) == (deep.lengths(few)[0, deep.langs.index("few")])
