@@ -64,6 +64,23 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like ``wanted`` that no column of ``df`` has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as one that Spark takes literally."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return reduce(and_, [left[n] == right[n] for n in names], F.lit(True))
 

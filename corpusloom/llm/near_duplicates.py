@@ -6,11 +6,15 @@ PartEnum splits the shingle domain into first-level parts, so few differences ar
 them, and each part into second-level parts, of which it enumerates the subsets that leave one
 out: two sets that are similar enough agree on one such subset at least, and share its signature.
 
-Within the classes that share a signature no pairs are enumerated at once. In a few rounds every
-class is compared with some hubs of its signatures that lie in another component; what is joined
-already needs no comparison. Whatever pairs are left between different components after that are
-all compared. Comparisons look at a parity sketch first (it never rejects a similar pair), then at
-the whole sets.
+Each signature has a hub, the class with the most company, which all its other classes are compared
+with first; what is joined by that needs no further comparison. Then the classes of a small group
+are paired, if they lie in different components. Groups that have more pairs than that are split by
+differences, so that a hub never has more rows than a fixed number for each class: classes x
+and y that differ from the hub in Dx and Dy differ from each other in Dx xor Dy, so they can only
+be similar if Dx and Dy share enough, and then they share one of the first few elements of both
+(what the hub lacks first, in a fixed order). Classes are dealt by these elements, a bounded number
+of rows for each, and meet only there. Comparisons look at a parity sketch first (it never rejects
+a similar pair), then at the whole sets.
 """
 
 from __future__ import annotations
@@ -25,21 +29,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, buckets_for, small_batches
+from .common import Scratch, buckets_for, free_names, quoted, small_batches
 
 
 @dataclass(frozen=True)
 class JaccardConfig:
     """``threshold`` per cent. ``band``: ratio of a size band's bounds. ``split``: second-level parts;
-    more make signatures more selective and more numerous. ``rounds`` and ``hubs``: of comparisons
-    before all remaining pairs are compared."""
+    more make signatures more selective and more numerous. ``paired``: the most classes of a
+    signature that are always paired with each other. Larger groups of a hub are split by
+    differences if their pairs are more than ``prefer`` times the rows that splitting takes."""
 
     words: int = 4
     threshold: int = 85
     band: float = 1.2
     split: int = 3
-    rounds: int = 2
-    hubs: int = 16
+    paired: int = 32
+    prefer: float = 1.0
     chunk: int = 1 << 21
 
 
@@ -187,6 +192,10 @@ class Bands:
         return np.packbits(cells.astype(np.uint8), bitorder="little").view("<i8")
 
 
+#: Classes that one copy of a hub's set is compared with.
+HUB_ROWS = 64
+
+
 def _prints(s: np.ndarray, seed: int) -> tuple[int, int]:
     """Two independent fingerprints of a set."""
     with np.errstate(over="ignore"):
@@ -240,24 +249,19 @@ def signature_rows(df: DataFrame, config: JaccardConfig, seed: int) -> DataFrame
     return df.select("text").mapInArrow(run, "sig long, cls long")
 
 
-def apart(groups: DataFrame) -> DataFrame:
-    """``groups`` (sig, cls, comp) without those that lie in one component."""
-    w = Window.partitionBy("sig")
-    return groups.select("sig", "cls", "comp", F.min("comp").over(w).alias("_a"), F.max("comp").over(w).alias("_b")).where("_a <> _b").select("sig", "cls", "comp")
-
+#: Bits of an id filter for each id, and the most a filter has (32 MB); for more ids, rows are joined instead.
+BITS_EACH, MOST_BITS = 16, 1 << 28
 
-FILTER_BITS = 1 << 24
 
-
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size (2 MB) in which every id's bit is set.
+def id_filter(ids: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of ``bits`` in which every id's bit is set.
 
     It only spares work: what passes by chance is dropped by a join later.
     """
-    bit = ids.select(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("bit"))
+    bit = ids.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("bit"))
     words = bit.groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("mask"))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    got = words.toPandas()  # FILTER_BITS / 64 rows at most
+    out = np.zeros(bits // 64, np.int64)
+    got = words.toPandas()  # bits / 64 rows at most
     out[got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64)
     return out.view(np.uint64)
 
@@ -268,23 +272,31 @@ def class_sets(docs: DataFrame, reps: DataFrame, config: JaccardConfig, seed: in
     ``what`` is "sketch" or "items". The rows are dealt once, by class, into ``buckets`` partitions.
     """
     spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(id_filter(reps, "doc_id"))
+    wanted, bits, count = None, 1 << 16, reps.count()
+    while bits < BITS_EACH * count:
+        bits *= 2
+    if bits <= MOST_BITS:
+        wanted = spark.sparkContext.broadcast(id_filter(reps, "doc_id", bits))
+    else:
+        docs = docs.join(reps.select("doc_id").hint("merge"), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, bits = Bands(config), wanted.value
+        bands = Bands(config)
         for batch in batches:
-            bit = batch.column("_bit").to_numpy()
-            keep = np.flatnonzero(bits[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))
-            if not len(keep):
-                continue
-            rows = batch.take(pa.array(keep))
+            rows = batch
+            if wanted is not None:
+                bit = batch.column("_bit").to_numpy()
+                keep = np.flatnonzero(wanted.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))
+                if not len(keep):
+                    continue
+                rows = batch.take(pa.array(keep))
             got = list(shingle_sets(rows.column("text").to_pylist(), config.words, config.chunk))
             prints = [_prints(s, seed)[0] for s in got]
             sizes = pa.array([len(s) for s in got], pa.int64())
             kept = [s.view(np.int64) if what == "items" else bands.sketch(s) for s in got]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(prints, pa.int64()), sizes, pa.array(kept, pa.list_(pa.int64()))], names=["_doc", "cls", "n", what])
 
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     rows = docs.select("doc_id", "text", bit.alias("_bit")).mapInArrow(run, f"_doc long, cls long, n long, {what} array<bigint>")
     found = rows.repartition(buckets, "cls").join(reps.repartition(buckets, "cls").hint("merge"), "cls").where("_doc = doc_id").dropDuplicates(["cls"])
     return found.select("cls", "n", what)
@@ -323,6 +335,61 @@ def verified(pairs: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFr
     return met(pairs, sets, "items", config.threshold).where(100 * common >= config.threshold * (total - common)).select("a", "b")
 
 
+def most_apart(size: Column, threshold: int) -> Column:
+    """How many shingles two linked sets of ``size`` shingles together can differ in."""
+    return F.floor(size * (100 - threshold) / (100 + threshold) + 1e-6)
+
+
+def hubs_to_split(large: DataFrame, home: DataFrame, config: JaccardConfig) -> DataFrame:
+    """(hub) whose groups in ``large`` (sig, hub, cls, comp, n) have more pairs of different components than splitting has rows."""
+    groups = large.groupBy("hub", "sig", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("hub", "sig").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("inside"))
+    pairs = groups.groupBy("hub").agg((F.sum(F.col("m") * F.col("m") - F.col("inside")) / 2).alias("pairs"))
+    k = most_apart(2 * F.col("n"), config.threshold)
+    each = large.where(F.col("cls") != F.col("hub")).select("hub", "cls", "comp", "n").distinct().join(home, "hub")
+    rows = each.groupBy("hub").agg(F.sum(F.when(F.col("comp") == F.col("home"), k / 4 + 1).otherwise(k + 1)).alias("rows"))
+    return pairs.join(rows, "hub").where(F.col("pairs") * config.prefer > F.col("rows")).select("hub")
+
+
+def difference_keys(near: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
+    """(hub, key, at, cls, comp, n, d, first) for classes of large groups; ``near`` is (hub, cls, comp, n, home).
+
+    ``home`` is the hub's component. A class differs from its hub in ``d`` shingles; those that the
+    hub lacks come first, each part in order of its hashes, and ``at`` is the place of ``key`` in
+    that list. A pair x, y differs in k = most(|x| + |y|) at most, so that Dx and Dy share
+    (dx + dy - k) / 2 or more, and x's first (dx - dy + k) / 2 + 1 keys or fewer hold one of them.
+    If dx + dy <= k, both are similar to the hub, and so in its component. A class of the hub's
+    component has partners outside only, which differ from the hub in more than a similar set can.
+    ``first``: whether the key can be shared as the one of a pair with the smaller d.
+    """
+    t = config.threshold
+    salts = near.groupBy("hub").agg(F.expr(f"cast(count(1) div {HUB_ROWS} as int) + 1").alias("salts"), F.max("n").alias("largest"))
+    dealt = near.join(salts, "hub").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
+    hubs = salts.drop("largest").join(sets.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("items").alias("base")), "hub").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
+    met = dealt.drop("salts", "n").join(sets, "cls").join(hubs, ["hub", "salt"])
+    differ = F.concat(F.array_except("items", "base"), F.array_except("base", "items"))
+    rows = met.select("hub", "cls", "comp", "home", "n", "hub_n", "largest", differ.alias("differ")).withColumn("d", F.size("differ"))
+    k = most_apart(F.col("n") + F.least(F.floor(F.col("n") * 100 / t), "largest"), t)
+    beyond = most_apart(F.ceil(F.col("n") * t / 100) + F.col("hub_n"), t)
+    length = F.when(F.col("comp") == F.col("home"), F.floor((k - beyond - 1 + F.col("d")) / 2) + 1).otherwise(k + 1)
+    length = F.greatest(F.lit(0), F.least(length, "d")).cast("int")
+    rows = rows.select("hub", "cls", "comp", "n", "d", (F.floor(k / 2) + 1).alias("half"), F.slice("differ", F.lit(1), length).alias("keys"))
+    keys = rows.repartition("cls", "hub").select("hub", "cls", "comp", "n", "d", "half", F.posexplode("keys").alias("at", "key"))
+    return keys.select("hub", "key", "at", "cls", "comp", "n", "d", (F.col("at") < F.col("half")).alias("first"))
+
+
+def pairs_by_differences(keys: DataFrame, config: JaccardConfig) -> DataFrame:
+    """Pairs (a, b) of different components that meet at a key and can share enough differences beyond it."""
+    t = config.threshold
+    x = keys.where("first").select("hub", "key", *(F.col(c).alias(f"{c}1") for c in ("at", "cls", "comp", "n", "d")))
+    y = keys.select("hub", "key", *(F.col(c).alias(f"{c}2") for c in ("at", "cls", "comp", "n", "d")))
+    k = most_apart(F.col("n1") + F.col("n2"), t)
+    share = F.ceil((F.col("d1") + F.col("d2") - k) / 2)
+    order = (F.col("d1") < F.col("d2")) | ((F.col("d1") == F.col("d2")) & (F.col("cls1") < F.col("cls2")))
+    fits = order & (F.col("comp1") != F.col("comp2")) & can_link(F.col("n1"), F.col("n2"), t) & (F.least(F.col("d1") - F.col("at1"), F.col("d2") - F.col("at2")) >= share)
+    met = x.join(y, (x["hub"] == y["hub"]) & (x["key"] == y["key"]) & fits)
+    return met.select(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b"))
+
+
 def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, comp): the smallest id that is reachable over ``links`` (a, b), for ids that have a link.
 
@@ -370,77 +437,63 @@ def link_components(df: DataFrame, config: JaccardConfig = JaccardConfig()) -> D
         scratch.drop(prints, classes)  # two different sets have one fingerprint: take others
         seed += 1
     by = Window.partitionBy("sig")
-    digest = F.bit_xor(F.xxhash64("cls", F.lit(7)))
     rows = signature_rows(known, config, seed)
     rows = rows.select("sig", "cls", F.min("cls").over(by).alias("low"), F.max("cls").over(by).alias("high")).where("low <> high").select("sig", "cls").distinct()
     rows = scratch.keep(rows)
     # signatures with the same classes count once
-    own = Window.partitionBy("sig")
-    rows_of = rows.select("sig", "cls", digest.over(own).alias("who"), F.count(F.lit(1)).over(own).alias("m"))
-    members = scratch.keep(rows_of.groupBy("who", "m", "cls").agg(F.min("sig").alias("sig")).select("sig", "cls"))
+    digest = F.bit_xor(F.xxhash64("cls", F.lit(7)))
+    rows_of = rows.select("sig", "cls", digest.over(by).alias("who"), F.count(F.lit(1)).over(by).alias("m"))
+    members = scratch.keep(rows_of.groupBy("who", "m", "cls").agg(F.min("sig").alias("sig")).select("sig", "m", "cls"))
     scratch.drop(rows)
-    taken = members.select("cls").distinct()
-    reps = scratch.keep(classes.select("cls", "doc_id").join(taken, "cls"))
-    buckets = max(12, min(4096, buckets_for(reps.count())))
-    links, comp = None, None
-
-    def stored(of: DataFrame, what: str) -> tuple[DataFrame, str]:
-        """``class_sets`` as a table in buckets by class, so that only pairs move; and its name."""
-        name = f"jaccard_{uuid.uuid4().hex}"
-        class_sets(known, of, config, seed, buckets, what).write.option("compression", "none").bucketBy(buckets, "cls").format("parquet").saveAsTable(name)
-        return spark.table(name), name
-
-    def linked_pairs(pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` that link. Whole sets are gathered of what the sketches leave only."""
-        near = scratch.keep(alike(pairs, sketches, config))
-        met_here = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
-        items, name = stored(reps.join(met_here, "cls", "left_semi"), "items")
-        out = scratch.keep(verified(near, items, config))
-        spark.sql(f"DROP TABLE {name}")
-        scratch.drop(near)
-        return out
-
-    sketches, sketch_table = stored(reps, "sketch")
-
-    def placed(m: DataFrame) -> DataFrame:
-        """``m`` with each class's component, without signatures that lie in one component."""
-        if comp is None:
-            out = m.withColumn("comp", F.col("cls"))
-        else:
-            out = m.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        return apart(out.select("sig", "cls", "comp"))
-
-    def add(found: DataFrame) -> None:
-        nonlocal links, comp
-        links = found if links is None else scratch.keep(links.union(found))
+    company = members.groupBy("cls").agg(F.sum("m").alias("company"))
+    reps = scratch.keep(classes.select("cls", "doc_id").join(company, "cls"))
+    buckets = max(12, buckets_for(reps.count()))
+    made: list[str] = []
+
+    def stored(of: DataFrame, what: str) -> DataFrame:
+        """``class_sets`` as a table in buckets by class, so that only pairs move."""
+        made.append(f"jaccard_{uuid.uuid4().hex}")
+        class_sets(known, of, config, seed, buckets, what).write.option("compression", "none").bucketBy(buckets, "cls").format("parquet").saveAsTable(made[-1])
+        return spark.table(made[-1])
+
+    def whole_sets(ids: DataFrame) -> DataFrame:
+        return stored(scratch.keep(reps.select("cls", "doc_id").join(ids.distinct(), "cls", "left_semi")), "items")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))
+
+    try:
+        sketches = stored(reps.select("cls", "doc_id"), "sketch")
+        best = F.max(F.struct("company", "cls")).over(by)["cls"].alias("hub")
+        hubbed = scratch.keep(members.join(reps.select("cls", "company"), "cls").select("sig", "m", "cls", best))
+        asked = hubbed.where("cls <> hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+        near = scratch.keep(alike(asked, sketches, config))
+        links = scratch.keep(verified(near, whole_sets(ends(near)), config))
         comp = components(reps, links, scratch)
-
-    for turn in range(config.rounds):
-        mixed = scratch.keep(placed(members))
-        scratch.drop(members)
-        members = mixed.select("sig", "cls")
-        members._scratch = mixed._scratch
-        if not members.limit(1).count():
-            break
-        w = Window.partitionBy("sig")
-        hub = F.min(F.struct(F.xxhash64("cls", "sig", F.lit(turn)).alias("h"), F.col("cls").alias("hub"), F.col("comp").alias("to"))).over(w)
-        asks = mixed.withColumn("_hub", hub).where("comp <> _hub.to").select("cls", F.col("_hub.hub").alias("hub")).distinct()
-        chosen = asks.withColumn("_r", F.row_number().over(Window.partitionBy("cls").orderBy(F.xxhash64("cls", "hub", F.lit(turn))))).where(F.col("_r") <= config.hubs)
-        pairs = chosen.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-        add(linked_pairs(pairs))
-    else:
-        rest = scratch.keep(placed(members))
-        sized = rest.join(sketches.select("cls", "n"), "cls")
-        one = sized.select("sig", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("ma"))
-        two = sized.select("sig", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("mb"))
-        left = one.join(two, (one["sig"] == two["sig"]) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & can_link(F.col("ma"), F.col("mb"), config.threshold))
-        add(linked_pairs(left.select("a", "b").distinct()))
-    spark.sql(f"DROP TABLE {sketch_table}")
+        scratch.drop(near, members)
+        # what is left: signatures whose classes lie in different components
+        placed = hubbed.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        placed = placed.select("*", F.min("comp").over(by).alias("_a"), F.max("comp").over(by).alias("_b")).where("_a <> _b").drop("_a", "_b")
+        placed = scratch.keep(placed.join(sketches.select("cls", "n"), "cls"))
+        large = placed.where(F.col("m") > config.paired)
+        home = large.select("hub").distinct().join(comp.withColumnRenamed("id", "hub"), "hub", "left").select("hub", F.coalesce("comp", "hub").alias("home"))
+        split = scratch.keep(hubs_to_split(large, home, config))
+        paired = placed.where(F.col("m") <= config.paired).unionByName(large.join(split, "hub", "left_anti").select(placed.columns))
+        one, two = (paired.select("sig", *(F.col(c).alias(f"{c}{i}") for c in ("cls", "comp", "n"))) for i in (1, 2))
+        few = one.join(two, (one["sig"] == two["sig"]) & (F.col("comp1") != F.col("comp2")) & (F.col("cls1") < F.col("cls2")) & can_link(F.col("n1"), F.col("n2"), config.threshold)).select(F.col("cls1").alias("a"), F.col("cls2").alias("b"))
+        many = scratch.keep(large.where(F.col("cls") != F.col("hub")).join(split, "hub", "left_semi").select("hub", "cls", "comp", "n").distinct().join(home, "hub"))
+        if many.limit(1).count():
+            keys = difference_keys(many, whole_sets(many.select("cls").union(many.select("hub"))), config)
+            few = few.union(pairs_by_differences(scratch.keep(keys), config))
+        near = scratch.keep(alike(few.distinct(), sketches, config))
+        if near.limit(1).count():
+            more = scratch.keep(verified(near, whole_sets(ends(near)), config))
+            comp = components(reps, scratch.keep(links.union(more)), scratch)
+    finally:
+        for name in made:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     # components of classes become components of documents
-    if comp is not None:
-        classes = classes.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    else:
-        classes = classes.withColumn("comp", F.col("cls"))
+    classes = classes.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     lowest = classes.groupBy("comp").agg(F.min("doc_id").alias("_least"))  # partial sums first, as a component may be large
     least = scratch.keep(classes.join(lowest, "comp").select("cls", "_least"))
     # large classes are joined by broadcast or by a split skewed join; null ids and empty sets stay alone
@@ -452,10 +505,12 @@ def link_components(df: DataFrame, config: JaccardConfig = JaccardConfig()) -> D
 def keep_one(df: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
     """``df`` with one document of each component, the one with its smallest doc_id.
 
-    Rows that repeat that doc_id collapse to one, the one with the smallest text; rows with a null
-    doc_id stay.
+    Rows that repeat that doc_id collapse to one, the one with the smallest text (null first; ties:
+    any one of them); rows with a null doc_id stay. Columns may have any names.
     """
-    kept = link_components(df, config).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = df.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return named.withColumn("_rank", rank).where("_rank = 1").drop("_rank").unionByName(df.where(F.col("doc_id").isNull()))
+    kept_id, row = free_names(df, "kept", "row")
+    kept = link_components(df.select("doc_id", "text"), config).where("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
+    named = df.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id").cast("long") == F.col(kept_id), "left_semi")
+    whole = F.struct(*(F.col(quoted(c)) for c in df.columns))
+    first = named.groupBy("doc_id").agg(F.min_by(whole, F.struct("text")).alias(row))
+    return first.select(*(F.col(row)[c].alias(c) for c in df.columns)).unionByName(df.where(F.col("doc_id").isNull()))

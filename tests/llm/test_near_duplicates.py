@@ -82,13 +82,31 @@ def test_components(spark):
     assert sum(r.doc_id is None for r in kept) == 2
 
 
-def test_without_rounds(spark):
+@pytest.mark.parametrize("paired", [1, 5])
+def test_all_groups_split_by_differences(spark, paired):
     rows = corpus(4)[:300]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nd.link_components(df, nd.JaccardConfig(rounds=0)).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nd.link_components(df, nd.JaccardConfig(paired=paired, prefer=1e9)).collect()), key=str)
     assert got == truth(rows)
 
 
+def test_many_near_misses(spark, words=5, threshold=80):
+    rng = random.Random(11)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(450):  # most differ from the base by more than the threshold allows, some share edits
+        w = list(base)
+        for _ in range(i % 8):
+            w[rng.randrange(120)] = rng.choice("abcde")
+        rows.append((i, " ".join(w[: rng.choice([120, 120, 110, 100])])))
+    got = nd.link_components(spark.createDataFrame(rows, "doc_id long, text string"), nd.JaccardConfig(words=words, threshold=threshold)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(truth(rows, words, threshold))
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d e", 1, 2, 3), (2, "a b c d e", 4, 5, 6), (3, "z", 7, 8, 9), (3, "y", 0, 0, 0)], "doc_id long, text string, `_kept` int, `_row` int, `a.b` int")
+    assert sorted(tuple(r) for r in nd.keep_one(df).collect()) == [(1, "a b c d e", 1, 2, 3), (3, "y", 0, 0, 0)]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_signatures_and_sketches_lose_nothing(seed):
     rng = np.random.default_rng(seed)
