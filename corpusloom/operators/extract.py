@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import literal_pattern, pattern_spans
+from .cited import expand_articles
+
+
+def alias_spans(texts: DataFrame, aliases: list[str], ident: str, text: str) -> DataFrame:
+    """(ident, alias, start, end): leftmost longest places of ``aliases``, without overlaps.
+
+    One pattern finds all aliases in one pass over a text, and rows don't move.
+    """
+    found = pattern_spans(F.col(text), literal_pattern(aliases))
+    return texts.select(ident, F.explode(found).alias("_s")).select(ident, F.col("_s.span").alias("alias"), "_s.start", "_s.end")
+
 
 def literal_spans(texts: DataFrame, aliases: DataFrame, ident: str, text: str) -> DataFrame:
     """(ident, alias, start, end) of every place of every alias, found by splitting at it (no overlap with itself)."""
@@ -30,9 +42,6 @@ def provenance_violations(rows: DataFrame, text: str, span: str, offset: str) ->
     return rows.where(F.coalesce(F.substr(F.col(text), F.col(offset) + 1, F.length(span)) != F.col(span), F.lit(True)))
 
 
-def expand_ranges(df: DataFrame, column: str, out: str, width: int = 50) -> DataFrame:
-    """A row for each number of lists and ranges like ``5-8, 11``; ranges wider than ``width`` give their ends only."""
-    part = F.explode(F.split(column, r"\s*,\s*|\s+and\s+"))
-    rows = df.withColumn("_p", part).withColumn("_a", F.regexp_extract("_p", r"(\d+)", 1).try_cast("int")).withColumn("_b", F.coalesce(F.regexp_extract("_p", r"-\s*(\d+)", 1).try_cast("int"), F.col("_a")))
-    numbers = F.when((F.col("_b") >= F.col("_a")) & (F.col("_b") - F.col("_a") <= width), F.sequence("_a", "_b")).otherwise(F.array_distinct(F.array("_a", "_b")))
-    return rows.where(F.col("_a").isNotNull()).withColumn(out, F.explode(numbers)).drop("_p", "_a", "_b")
+def expand_ranges(df: DataFrame, column: str, out: str) -> DataFrame:
+    """A row for each number of lists and ranges like ``5-8, 11 va 12``; see ``cited.expand_articles``."""
+    return df.withColumn(out, F.explode(expand_articles(F.col(column))))

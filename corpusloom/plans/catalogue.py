@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graphs, retrieval
+from . import graphs, legal, retrieval
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return retrieval.QUERIES | graphs.QUERIES
+    return retrieval.QUERIES | graphs.QUERIES | legal.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return retrieval.SQL | graphs.SQL
+    return retrieval.SQL | graphs.SQL | legal.SQL

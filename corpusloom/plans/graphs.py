@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import ids as I
 from ..functions import text as T
 from ..operators import documents as D
 from ..operators import extract as E
@@ -46,7 +47,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst")).distinct()
 
 
-EDGES = "e AS (SELECT DISTINCT l_partkey AS src, -1 - l_suppkey AS dst FROM lineitem WHERE l_quantity >= 45)"
+EDGES = "e AS (SELECT DISTINCT l_partkey AS src, -1 - l_suppkey AS dst FROM lineitem)"
 
 
 def semantic_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +71,8 @@ def uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seed"))
+    """What the parts whose key is divisible by 100, as in all searches, reach over all edges."""
+    seeds = table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("seed"))
     return G.expand(seeds, _edges(spark, sf_dir), 3, undirected=True).groupBy("seed", "hop").agg(F.count(F.lit(1)).alias("nodes"), F.sum("node").alias("node_sum"))
 
 
@@ -151,9 +153,7 @@ ALIASES = ["th", "the", "ther", "ent", "que", "der"]
 def extract_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leftmost longest places of aliases in the benchmark items, without overlaps."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("text"))
-    aliases = spark.createDataFrame([(a,) for a in ALIASES], "alias string")
-    spans = E.literal_spans(items, aliases, "item_id", "text")
-    return E.select_spans(spans, "item_id", [F.col("start"), -F.length("alias")])
+    return E.alias_spans(items, ALIASES, "item_id", "text")
 
 
 def alias_theta_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,26 +161,47 @@ def alias_theta_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")), F.col("text").contains(F.col("passage"))).select("doc_id", "item_id")
 
 
+STRINGS = "Người lao động; Điều 64 khoản 1/QĐ-BHXH; BẢO HIỂM XÃ HỘI"
+
+
 def fold_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts folded, and the beginning of their slugs."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"), T.slug(F.col("text"), 40).alias("slug"))
+    """Whole texts folded, after some words with marks, and the beginning of their slugs."""
+    text = F.concat(F.lit(STRINGS), F.lit(" "), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.fold(text).alias("folded"), T.slug(text, 80).alias("slug"), F.sha2(T.fold_text(text), 256).alias("kept_sha"))
+
+
+def _line_id() -> Column:
+    """Identifiers of orders and lines, some without a clause, a point or a law, some with a chapter or table, some in no known form."""
+    order, line, flag = F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.lower("l_returnflag")
+    article = F.concat(F.lit("ORD_1.A"), order)
+    return (
+        F.when(F.col("l_linenumber") == 1, article)
+        .when(F.col("l_linenumber") == 2, F.concat(article, F.lit(".K"), line, F.lit("."), flag))
+        .when(F.col("l_linenumber") == 3, F.concat(article, F.lit(".T"), line))
+        .when(F.col("l_linenumber") == 4, F.concat(F.lit("ORD_1.C"), order))
+        .when(F.col("l_linenumber") == 5, F.concat(F.lit("1ORD.A"), order))
+        .when(F.col("l_linenumber") == 6, F.concat(article, F.lit(".K2.đ")))
+        .otherwise("ORD_1")
+    )
 
 
 def parse_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers built from orders and lines, and read back."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.item_id(F.lit("ORD"), F.col("l_orderkey"), F.when(F.col("l_linenumber") > 1, F.col("l_linenumber")), F.when(F.col("l_quantity") > 25, F.lower("l_returnflag"))).alias("id"))
-    p = T.parse_id(F.col("id"))
-    return rows.select("l_orderkey", "l_linenumber", "id", p["law"].alias("law"), p["article"].alias("article"), p["clause"].alias("clause"), p["point"].alias("point"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _line_id().alias("id"))
+    p = I.parse_id(F.col("id"))
+    return rows.select("l_orderkey", "l_linenumber", "id", *(p[c].alias(c) for c in ("law", "chapter", "article", "clause", "point", "table")), I.citation_label(F.col("id")).alias("label"))
 
 
 def date_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates in texts made from orders; law codes don't count as years."""
-    text = F.concat(F.lit("Law 41/2024/QH15 of "), F.date_format("o_orderdate", "d/M/yyyy"), F.when(F.col("o_orderkey") % 2 == 0, F.lit(" and 01/02/1993")).otherwise(F.lit(" since 2019")))
+    day = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "d/M/yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "dd.MM.yyyy")).otherwise(F.date_format("o_orderdate", "d-M-yyyy"))
+    law = F.when(F.col("o_orderkey") % 5 == 0, F.lit("Law 41/2024/QH15 of ")).otherwise("As of ")
+    text = F.concat(law, day, F.when(F.col("o_orderkey") % 2 == 0, F.lit(" and 01/02/1993, not 31/02/2030")).otherwise(F.lit(" since 1949 or 2019")))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(T.event_date(text), "yyyy-MM-dd").alias("date"), F.date_format(T.event_date(text, "compat"), "yyyy-MM-dd").alias("compat"))
 
 
 def threshold_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("after "), F.col("p_size"), F.lit(" days or "), F.col("p_partkey") % 100, F.lit("% from 05/06/"), 1990 + F.col("p_size"), F.lit(", since 2001"))
+    text = F.concat(F.lit("sau "), F.col("p_size"), F.lit(",5 Ngày hoặc "), F.col("p_partkey") % 100, F.lit("  tuổi, đủ 12 tháng, 50% từ 05/06/"), 1990 + F.col("p_size"), F.lit(", since 2001"))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.thresholds(text), "|").alias("found"))
 
 
@@ -236,7 +257,7 @@ def chunker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("Issue: x\nRule:  [A 1] "), F.col("text"), F.lit(" [B, C]  end"))
+    text = F.concat(F.lit("Issue: x\nRule:  [A 1] "), F.col("text"), F.lit(" [B, C]  end\nNguồn: Điều 5\nCitations: none\n last"))
     return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.sha2(T.clean_answer(text), 256).alias("clean_sha"))
 
 
@@ -258,14 +279,16 @@ def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def article_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists and ranges of article numbers, one row a number."""
-    text = F.concat(F.col("p_size"), F.lit("-"), F.col("p_size") + F.col("p_partkey") % 4, F.lit(", 99 and 7"))
+    text = F.concat(F.col("p_size"), F.lit("-"), F.col("p_size") + F.col("p_partkey") % 4, F.lit(", 99 va 7"))
     rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("articles"))
-    return E.expand_ranges(rows, "articles", "article").select("p_partkey", "article")
+    return E.expand_ranges(rows, "articles", "article").select("p_partkey", F.col("article").cast("int").alias("article"))
 
 
 QUERIES = {f.__name__: f for f in (hydrate_chain, optional_collect, verify_ids, semantic_expand, orphan_filter, uncovered, multi_hop, same_parent_expand, proximity_candidates, first_child, degree, reachability, merge_nodes, dedupe_edges, upsert_edges, next_edges, contiguity, running_state, extract_spans, alias_theta_match, fold_slug, parse_id, date_detect, threshold_extract, pair_mining, stratified_split, category_stratum, provenance_check, constraint_violations, chunker, answer_clean, context_render, validation_summary, group_counts, article_ranges)}
 
-_FOLD = f"trim(regexp_replace(translate(lower(substr(text, 1, 120)), '{T.MARKED}', '{T.PLAIN}'), '[^a-z0-9]+', ' ', 'g'))"
+_ASCII = f"lower(regexp_replace(strip_accents(replace(replace('{STRINGS} ' || text, 'đ', 'd'), 'Đ', 'D')), '[^\\x00-\\x7F]+', '', 'g'))"
+_FOLD = f"trim(regexp_replace({_ASCII}, '[^a-z0-9]+', ' ', 'g'))"
+_KEPT = f"trim(regexp_replace({_ASCII}, '[^a-z0-9/_-]+', ' ', 'g'))"
 
 SQL = {
     "hydrate_chain": "SELECT l_orderkey, l_linenumber, c_name, n_name, r_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_quantity >= 49",
@@ -275,12 +298,12 @@ SQL = {
     "orphan_filter": f"WITH {EDGES}, k AS (SELECT * FROM e WHERE src IN (SELECT p_partkey FROM part WHERE p_size % 5 <> 0) AND -1 - dst IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0)) SELECT (SELECT count(*) FROM e) AS total, count(*) AS kept, sum(src)::BIGINT AS src_sum FROM k",
     "uncovered": f"WITH {EDGES} SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT src FROM e)",
     "multi_hop": f"""WITH RECURSIVE {EDGES}, w AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-x(seed, node, hop) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 400 = 1 UNION SELECT seed, dst, hop + 1 FROM x JOIN w ON src = node WHERE hop < 3),
+x(seed, node, hop) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 100 = 0 UNION SELECT seed, dst, hop + 1 FROM x JOIN w ON src = node WHERE hop < 3),
 m AS (SELECT seed, node, min(hop) AS hop FROM x WHERE hop > 0 AND node <> seed GROUP BY ALL) SELECT seed, hop, count(*) AS nodes, sum(node)::BIGINT AS node_sum FROM m GROUP BY ALL""",
     "same_parent_expand": """WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS score FROM lineitem WHERE l_quantity >= 30),
 n AS (SELECT a.l_orderkey, a.l_linenumber, sum(b.score) AS g FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, round(max(score + 0.25::DOUBLE * coalesce(g, 0)), 6) AS score FROM r LEFT JOIN n USING (l_orderkey, l_linenumber) GROUP BY ALL""",
-    "proximity_candidates": """WITH p AS (SELECT a.o_orderkey AS seed, b.o_orderkey, CASE WHEN a.o_orderpriority = b.o_orderpriority THEN 1 ELSE 2 END AS tier FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey WHERE a.o_orderkey % 20 = 1)
+    "proximity_candidates": """WITH p AS (SELECT a.o_orderkey AS seed, b.o_orderkey, CASE WHEN a.o_orderpriority = b.o_orderpriority THEN 1 ELSE 2 END AS tier FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY tier, o_orderkey) AS place FROM p) WHERE place <= 8""",
     "first_child": "SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS first_part FROM lineitem GROUP BY 1",
     "degree": f"WITH {EDGES}, n AS (SELECT src AS node FROM e UNION ALL SELECT dst FROM e WHERE src <> dst) SELECT node, count(*) AS degree FROM n GROUP BY 1",
@@ -288,7 +311,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY tier, o_o
     "merge_nodes": """WITH f AS (SELECT user_id, event_type, min(event_id) AS e FROM events GROUP BY ALL)
 SELECT user_id, arg_min(event_type, event_id) AS event_type, arg_max(props, (length(props), -event_id)) AS props, (SELECT string_agg(event_type, ',' ORDER BY e) FROM f WHERE f.user_id = events.user_id) AS types FROM events GROUP BY user_id""",
     "dedupe_edges": "SELECT l_partkey, l_suppkey, l_returnflag, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n = 1",
-    "upsert_edges": """WITH d AS (SELECT o_custkey, o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS a, o_orderkey FROM orders WHERE o_orderkey % 3 = 0),
+    "upsert_edges": """WITH d AS (SELECT o_custkey, o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS a, o_orderkey FROM orders),
 m AS (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS s, max_by(a, o_orderkey) FILTER (WHERE a IS NOT NULL) AS a FROM d GROUP BY 1)
 SELECT coalesce(c_custkey, o_custkey) AS c_custkey, coalesce(s, c_mktsegment) AS status, coalesce(a, c_acctbal) AS amount FROM customer FULL JOIN m ON c_custkey = o_custkey""",
     "next_edges": "SELECT * FROM (SELECT o_custkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS src, o_orderkey AS dst FROM orders) WHERE src IS NOT NULL",
@@ -300,13 +323,16 @@ s(item_id, t, pos, start, alias) AS (SELECT item_id, t, 1, 0, NULL::VARCHAR FROM
     SELECT item_id, t, hit, pos + strpos(substr(t, pos), hit) - 1 AS p FROM (SELECT *, regexp_extract(substr(t, pos), 'ther|the|th|ent|que|der') AS hit FROM s WHERE pos <= length(t))))
 SELECT item_id, alias, start, start + length(alias) AS "end" FROM s WHERE alias IS NOT NULL AND alias <> ''""",
     "alias_theta_match": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
-    "fold_slug": f"SELECT doc_id, {_FOLD} AS folded, substr(replace({_FOLD}, ' ', '-'), 1, 40) AS slug FROM documents",
-    "parse_id": """WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 1 THEN l_linenumber END AS k, CASE WHEN l_quantity > 25 THEN lower(l_returnflag) END AS p FROM lineitem WHERE l_orderkey % 10 = 1),
-i AS (SELECT *, 'ORD.A' || l_orderkey || coalesce('.K' || k, '') || coalesce('.' || p, '') AS id FROM r)
-SELECT l_orderkey, l_linenumber, id, CASE WHEN ok THEN 'ORD' END AS law, CASE WHEN ok THEN l_orderkey END AS article, CASE WHEN ok THEN k END AS clause, CASE WHEN ok THEN p END AS point FROM (SELECT *, k IS NOT NULL OR p IS NULL AS ok FROM i)""",
-    "date_detect": "SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 2 = 0 THEN greatest(o_orderdate::DATE, DATE '1993-02-01') ELSE o_orderdate::DATE END, '%Y-%m-%d') AS date, '2024-12-31' AS compat FROM orders",
-    "threshold_extract": "SELECT p_partkey, array_to_string(list_concat(list_concat([p_size || ' days', (p_partkey % 100) || '%'], ['05/06/' || (1990 + p_size)]), CASE WHEN 1990 + p_size = 2001 THEN ['2001'] ELSE [(1990 + p_size)::VARCHAR, '2001'] END), '|') AS found FROM part",
-    "pair_mining": "WITH d AS (SELECT a.vec_id AS query_id, b.vec_id, a.label = b.label AS rel, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 25 = 0 AND a.vec_id <> b.vec_id) SELECT query_id, vec_id, rel, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id, rel ORDER BY sha256('42:' || vec_id)) AS place FROM d WHERE sim BETWEEN 0.30 AND 0.85) WHERE place <= 3",
+    "fold_slug": f"SELECT doc_id, {_FOLD} AS folded, substr(replace({_FOLD}, ' ', '-'), 1, 80) AS slug, sha256({_KEPT}) AS kept_sha FROM documents",
+    "parse_id": """WITH r AS (SELECT l_orderkey, l_linenumber, l_orderkey::VARCHAR AS o, l_linenumber AS n, lower(l_returnflag) AS f FROM lineitem),
+i AS (SELECT *, CASE n WHEN 1 THEN 'ORD_1.A' || o WHEN 2 THEN 'ORD_1.A' || o || '.K2.' || f WHEN 3 THEN 'ORD_1.A' || o || '.T3' WHEN 4 THEN 'ORD_1.C' || o WHEN 5 THEN '1ORD.A' || o WHEN 6 THEN 'ORD_1.A' || o || '.K2.đ' ELSE 'ORD_1' END AS id FROM r)
+SELECT l_orderkey, l_linenumber, id, CASE WHEN n <> 5 THEN 'ORD_1' END AS law, CASE WHEN n = 4 THEN o::INT END AS chapter, CASE WHEN n IN (1, 2, 3, 6) THEN o::INT END AS article, CASE WHEN n IN (2, 6) THEN 2 END AS clause,
+CASE n WHEN 2 THEN f WHEN 6 THEN 'đ' END AS point, CASE WHEN n = 3 THEN 3 END AS "table", CASE WHEN n IN (1, 3) THEN 'Điều ' || o WHEN n = 2 THEN 'Điều ' || o || ' khoản 2 điểm ' || f WHEN n = 6 THEN 'Điều ' || o || ' khoản 2 điểm đ' ELSE id END AS label FROM i""",
+    "date_detect": """SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 2 = 0 THEN greatest(o_orderdate::DATE, DATE '1993-02-01') ELSE o_orderdate::DATE END, '%Y-%m-%d') AS date,
+strftime(greatest(make_date(year(o_orderdate), 12, 31), CASE WHEN o_orderkey % 5 = 0 THEN DATE '2024-12-31' END, CASE WHEN o_orderkey % 2 = 0 THEN DATE '2030-12-31' ELSE DATE '2019-12-31' END), '%Y-%m-%d') AS compat FROM orders""",
+    "threshold_extract": """SELECT p_partkey, array_to_string(list_distinct_in_order, '|') AS found FROM (SELECT p_partkey, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_in_order FROM (
+SELECT p_partkey, [p_size || ',5 Ngày', (p_partkey % 100) || ' tuổi', '12 tháng', '05/06/' || (1990 + p_size), (1990 + p_size)::VARCHAR, '2001'] AS l FROM part))""",
+    "pair_mining": "WITH d AS (SELECT a.vec_id AS query_id, b.vec_id, a.label = b.label AS rel, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id) SELECT query_id, vec_id, rel, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id, rel ORDER BY sha256('42:' || vec_id)) AS place FROM d WHERE sim BETWEEN 0.30 AND 0.85) WHERE place <= 3",
     "stratified_split": "SELECT doc_id, lang, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY sha256('42:' || doc_id), doc_id) <= round_even(count(*) OVER (PARTITION BY lang) * 0.75, 0) THEN 'test' ELSE 'dev' END AS split FROM documents",
     "category_stratum": """WITH c AS (SELECT conv_id, count(DISTINCT CASE WHEN length(text) % 9 > 0 THEN length(text) % 5 END) AS n, count(DISTINCT CASE WHEN length(text) % 9 > 0 AND length(text) % 5 < 3 THEN length(text) % 5 END) AS k FROM conversations GROUP BY 1)
 SELECT CASE WHEN n = 0 THEN 'unparseable' WHEN n = k THEN 'in_corpus' WHEN k = 0 THEN 'ooc' ELSE 'mixed' END AS category, count(*) AS n FROM c GROUP BY 1""",
@@ -316,9 +342,10 @@ UNION ALL SELECT 'documents.text unique', count(*) FROM (SELECT text FROM docume
 UNION ALL SELECT 'labels refer to English documents', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')
 UNION ALL SELECT 'unit vectors', count(*) FROM embeddings WHERE abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 1e-3""",
     "chunker": "SELECT doc_id, k AS chunk, k * 400 AS start, sha256(substr(text, k * 400 + 1, 400)) AS body_sha FROM (SELECT doc_id, text, unnest(range(0, greatest(1, ((length(text) + 399) // 400)))) AS k FROM documents)",
-    "answer_clean": r"""SELECT conv_id, turn, sha256(trim(regexp_replace(regexp_replace(regexp_replace('Issue: x' || chr(10) || 'Rule:  [A 1] ' || text || ' [B, C]  end', '\[[^\[\]]*\]', ' ', 'g'), '(?im)^\s*(issue|rule|application|conclusion|citations?)\s*:', ' ', 'g'), '\s+', ' ', 'g'))) AS clean_sha FROM conversations WHERE role = 'assistant'""",
+    "answer_clean": r"""WITH t AS (SELECT conv_id, turn, regexp_replace('Issue: x' || chr(10) || 'Rule:  [A 1] ' || text || ' [B, C]  end' || chr(10) || 'last', '\[[^\]]+\]', '', 'g') AS x FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, sha256(trim(regexp_replace(regexp_replace(x, '(?im)^\s*(issue|rule|application|conclusion)\s*:\s*', '', 'g'), '\s+', ' ', 'g'))) AS clean_sha FROM t""",
     "context_render": "SELECT conv_id, substr(string_agg('[' || role || '] ' || substr(text, 1, 60), chr(10) ORDER BY turn), 1, 400) AS context FROM conversations GROUP BY 1",
     "validation_summary": "SELECT lang, count(*) AS n, count(quality) AS labelled, count_if(quality = 1)::BIGINT AS good, count_if(toxic = 1)::BIGINT AS toxic, round(count_if(quality = 1) / count(quality), 4) AS rate FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
     "group_counts": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, min(event_id) AS first FROM events GROUP BY 1",
-    "article_ranges": "SELECT p_partkey, unnest(list_concat(range(p_size, p_size + (p_partkey % 4)::INT + 1), [99, 7])) AS article FROM part WHERE p_partkey % 10 = 0",
+    "article_ranges": "SELECT p_partkey, unnest(list_concat(range(p_size, p_size + (p_partkey % 4)::INT + 1), [99, 7])) AS article FROM part",
 }

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..functions.vectors import norm
 from ..operators import citations, dense, ranking, sparse
-from ..sources.tables import table
+from ..sources.tables import kept_table, table
 
+#: Searches take the vectors whose id is divisible by this as queries, against all vectors.
+QUERIES_EVERY = 100
 TERMS = r"regexp_extract_all(lower(text), '[a-z0-9]+')"
 #: Postings and query terms, shared by the SQL of the sparse queries.
 POST = f"""w0 AS MATERIALIZED (SELECT doc_id AS doc, {TERMS} AS ws FROM documents),
@@ -19,16 +20,14 @@ p0 AS MATERIALIZED (SELECT doc, len(ws) AS len, unnest(ws) AS term FROM w0),
 p AS MATERIALIZED (SELECT doc, term, count(*) AS tf, max(len) AS len FROM p0 GROUP BY doc, term)"""
 
 
-def _query_sql(n: int | None) -> str:
-    words = f"{TERMS}[1:{n}]" if n else TERMS
-    return f"q AS MATERIALIZED (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({words}) AS term FROM benchmark) GROUP BY ALL)"
+ASKED = f"q AS MATERIALIZED (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY ALL)"
 
 
-def _bm25_sql(k: int, n: int | None, okapi: bool = False) -> str:
+def _bm25_sql(okapi: bool = False) -> str:
     idf = "ln(1 + (n - df + 0.5) / (df + 0.5))"
     if okapi:
         idf = "ln((n - df + 0.5) / (df + 0.5))"
-    return f"""{POST}, {_query_sql(n)},
+    return f"""{POST}, {ASKED},
 st AS MATERIALIZED (SELECT count(*) AS n, avg(len) AS a FROM (SELECT doc, max(len) AS len FROM p GROUP BY doc)),
 i0 AS MATERIALIZED (SELECT term, a, {idf} AS idf FROM (SELECT term, count(*) AS df FROM p GROUP BY term), st),
 i AS MATERIALIZED (SELECT term, a, {"CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM i0) ELSE idf END" if okapi else "idf"} AS idf FROM i0),
@@ -36,8 +35,8 @@ s AS MATERIALIZED (SELECT query_id, doc, round(sum(idf * tf * ({1.5 if okapi els
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM s WHERE score > 0)"""
 
 
-def _post(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+def _post(spark: SparkSession, sf_dir: str) -> sparse.Index:
+    return sparse.Index(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", kept_table(spark, "postings"))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,16 +71,14 @@ t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, v = _vectors(spark, sf_dir, 25)
+    q, v = _vectors(spark, sf_dir, QUERIES_EVERY)
     return dense.dense_topk(q, v, 10)
 
 
 def mean_pool_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each label's mean vector, normalised, against all vectors."""
     v = table(spark, sf_dir, "embeddings")
-    parts = v.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
-    pooled = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
-    pooled = pooled.select(F.col("label").cast("long").alias("query_id"), F.transform("m", lambda x: x / norm(F.col("m"))).alias("embedding"))
+    pooled = dense.mean_pool(v, "label").select(F.col("label").cast("long").alias("query_id"), "embedding")
     return dense.dense_topk(pooled, v, 5, exclude_self=False)
 
 
@@ -91,7 +88,7 @@ def _channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return sparse.bm25(q, p, 30), sparse.cosine(q, p, 30)
 
 
-CHANNELS = f"""{_bm25_sql(30, 5)},
+CHANNELS = f"""{_bm25_sql()},
 c1 AS (SELECT query_id, doc, score, rank FROM r WHERE rank <= 30),
 qn AS (SELECT query_id, sqrt(sum(qtf * qtf)) AS n FROM q GROUP BY 1), dn AS (SELECT doc, sqrt(sum(tf * tf)) AS n FROM p GROUP BY 1),
 cs AS (SELECT query_id, doc, round(dp / (qn.n * dn.n), 6) AS score FROM (SELECT query_id, doc, sum(qtf * tf) AS dp FROM q JOIN p USING (term) GROUP BY ALL) JOIN qn USING (query_id) JOIN dn USING (doc)),
@@ -118,8 +115,7 @@ def hybrid_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     laws = docs.select("law").distinct().select("law", F.when(number > 0, F.make_date(2000 + number, F.lit(1), F.lit(1))).alias("effective"), number.alias("n"))
     repeals = laws.where("n % 5 = 0 and n > 0").select("law", F.make_date(2010 + F.col("n"), F.lit(1), F.lit(1)).alias("repealed"))
     dates = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.make_date((2000 + F.col("item_id") % 25).cast("int"), F.lit(7), F.lit(1)).alias("date"))
-    valid = ranking.in_force(laws.drop("n"), repeals, dates)
-    kept = [c.join(docs, "doc").join(valid, ["query_id", "law"], "left_semi") for c in _channels(spark, sf_dir)]
+    kept = [ranking.in_force(c.join(docs, "doc"), laws.drop("n"), repeals, dates) for c in _channels(spark, sf_dir)]
     again = [ranking.top_per_query(c.drop("rank"), "doc", 30) for c in kept]
     return ranking.reciprocal_rank_fusion(again, "doc", 10)
 
@@ -129,28 +125,29 @@ def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, p = _asked(spark, sf_dir), _post(spark, sf_dir)
     pool = sparse.bm25(q, p, 15).select("query_id", "doc")
     terms = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
-    hits = pool.join(q.select("query_id", "term"), "query_id").join(p.select("doc", "term"), ["doc", "term"]).groupBy("query_id", "doc").agg(F.count(F.lit(1)).alias("h"))
+    hits = pool.join(q.select("query_id", "term"), "query_id").join(p.asked(q).select("doc", "term"), ["doc", "term"]).groupBy("query_id", "doc").agg(F.count(F.lit(1)).alias("h"))
     scored = hits.join(terms, "query_id").select("query_id", "doc", F.round(1 / (1 + F.exp(-(4.0 * F.col("h") / F.col("m") - 2))), 6).alias("score"))
     return ranking.top_per_query(scored, "doc", 5)
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    q, v = _vectors(spark, sf_dir, 10)
+    q, v = _vectors(spark, sf_dir, QUERIES_EVERY)
     ranked = dense.dense_topk(q, v, 30).select("query_id", "vec_id", "rank")
     gold = q.select("query_id", "label").join(v.select("vec_id", "label"), "label").where("vec_id <> query_id").select("query_id", "vec_id")
     return ranked, gold
 
 
 KS = [5, 10, 20]
-METRICS = ["precision", "recall", "f1", "ndcg", "rr"]
-JUDGED = f"""{_dense_sql(10, 30)},
-g AS (SELECT a.vec_id AS query_id, count(*) AS ng FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0 GROUP BY 1),
+METRICS = ["precision", "recall", "f1", "ndcg", "rr", "r_precision"]
+JUDGED = f"""{_dense_sql(QUERIES_EVERY, 30)},
+g AS (SELECT a.vec_id AS query_id, count(*) AS ng FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % {QUERIES_EVERY} = 0 GROUP BY 1),
 f AS (SELECT query_id, min(rank) AS f FROM t WHERE la = lb GROUP BY 1),
+rp AS (SELECT query_id, count(*) FILTER (WHERE rank <= ng AND la = lb) / max(ng) AS r_precision FROM t JOIN g USING (query_id) GROUP BY 1),
 m AS (SELECT t.query_id, k, any_value(la) AS label, count_if(rank <= k) AS n, count_if(rank <= k AND la = lb) AS h, sum(CASE WHEN rank <= k AND la = lb THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg
   FROM t, (VALUES (5), (10), (20)) ks(k) GROUP BY t.query_id, k),
 x AS (SELECT m.query_id, k, label, h / n AS precision, h / ng AS recall, CASE WHEN h = 0 THEN 0 ELSE 2 * (h / n) * (h / ng) / (h / n + h / ng) END AS f1,
-  dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 31) z(i) WHERE i <= least(ng, k)) AS ndcg, coalesce(1.0 / f, 0) AS rr
-  FROM m JOIN g USING (query_id) LEFT JOIN f USING (query_id))"""
+  dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 31) z(i) WHERE i <= least(ng, k)) AS ndcg, coalesce(1.0 / f, 0) AS rr, r_precision
+  FROM m JOIN g USING (query_id) JOIN rp USING (query_id) LEFT JOIN f USING (query_id))"""
 
 
 def retrieval_metrics_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,10 +159,7 @@ def retrieval_macro_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means by K over all queries (stratum ``all``) and by label."""
     rows = ranking.retrieval_metrics(*_judged(spark, sf_dir), KS, "vec_id")
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("stratum"))
-    cube = rows.join(labels, "query_id").withColumn("every", F.lit("all"))
-    both = cube.groupingSets([["k", "every"], ["k", "stratum"]], "k", "every", "stratum")
-    out = both.agg(F.count(F.lit(1)).alias("n"), *ranking.macro(METRICS))
-    return out.select("k", F.coalesce("stratum", "every").alias("stratum"), "n", *METRICS)
+    return ranking.macro_by(rows.join(labels, "query_id"), ["k"], labels.select("stratum").distinct(), METRICS)
 
 
 def probe_hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +171,7 @@ def probe_hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), hit(1), hit(5), hit(10), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 4).alias("mrr"), F.round(F.avg(F.col("first").isNull().cast("double")), 4).alias("zero_recall"))
 
 
-PAIRS = "d AS (SELECT a.vec_id AS query_id, b.vec_id, a.label = b.label AS rel, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 25 = 0 AND a.vec_id <> b.vec_id)"
+PAIRS = "d AS (SELECT a.vec_id AS query_id, b.vec_id, a.label = b.label AS rel, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)"
 
 
 def _gap_sums(a: np.ndarray, b: np.ndarray, sim: np.ndarray, other: np.ndarray, la: np.ndarray, lb: np.ndarray) -> pd.DataFrame:
@@ -210,8 +204,11 @@ def failure_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = dense.dense_pairs(table(spark, sf_dir, "embeddings"), _best_relevant, "query_id long, best double", also=("label",))
     best = parts.groupBy("query_id").agg(F.max("best").alias("best"))
     mode = F.when(F.col("best") < 0.55, "far").when(F.col("best") < 0.70, "near").otherwise("close")
-    listed = F.array_sort(F.collect_list("best"))
-    return best.groupBy(mode.alias("mode")).agg(F.count(F.lit(1)).alias("n"), F.element_at(listed, F.floor(F.size(listed) / 2).cast("int") + 1).alias("median"))
+    banded = best.select(mode.alias("mode"), "best").groupBy("mode", "best").agg(F.count(F.lit(1)).alias("n"))
+    # scores have six digits, so there are two million distinct ones at most
+    upto = Window.partitionBy("mode").orderBy("best")
+    ranked = banded.select("mode", "best", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(Window.partitionBy("mode")).alias("all"))
+    return ranked.groupBy("mode").agg(F.max("all").alias("n"), F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("best"))).alias("median"))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,7 +253,8 @@ def citation_micro_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def display_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citations.display_rate(_records(spark, sf_dir)).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("display"), 4).alias("display_rate"))
+    rows = citations.display_rate(_records(spark, sf_dir))
+    return rows.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("display"), 4).alias("display_rate"), F.round(F.try_divide(F.sum("display_num"), F.sum("display_denom")), 4).alias("micro"))
 
 
 def ontology_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,14 +286,14 @@ _FUSE = "SELECT query_id, doc, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score
 _RANKED = "SELECT query_id, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first NULLS LAST, doc) AS rank FROM ({0})) WHERE rank <= {1}"
 
 SQL = {
-    "bm25_topk": f"WITH {_bm25_sql(10, None)} SELECT query_id, doc, score, rank FROM r WHERE rank <= 10",
-    "bm25_okapi": f"WITH {_bm25_sql(10, 8, True)} SELECT query_id, doc, score, rank FROM r WHERE rank <= 10",
-    "sparse_cosine_topk": f"""WITH {POST}, {_query_sql(None)}, qn AS (SELECT query_id, sqrt(sum(qtf * qtf)) AS n FROM q GROUP BY 1), dn AS (SELECT doc, sqrt(sum(tf * tf)) AS n FROM p GROUP BY 1),
+    "bm25_topk": f"WITH {_bm25_sql()} SELECT query_id, doc, score, rank FROM r WHERE rank <= 10",
+    "bm25_okapi": f"WITH {_bm25_sql(True)} SELECT query_id, doc, score, rank FROM r WHERE rank <= 10",
+    "sparse_cosine_topk": f"""WITH {POST}, {ASKED}, qn AS (SELECT query_id, sqrt(sum(qtf * qtf)) AS n FROM q GROUP BY 1), dn AS (SELECT doc, sqrt(sum(tf * tf)) AS n FROM p GROUP BY 1),
 s AS (SELECT query_id, doc, round(dp / (qn.n * dn.n), 6) AS score FROM (SELECT query_id, doc, sum(qtf * tf) AS dp FROM q JOIN p USING (term) GROUP BY ALL) JOIN qn USING (query_id) JOIN dn USING (doc))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 10""",
-    "token_overlap_fallback": f"""WITH {POST}, {_query_sql(None)}, s AS (SELECT query_id, doc, sum(qtf)::BIGINT AS score FROM q JOIN p USING (term) GROUP BY ALL)
+    "token_overlap_fallback": f"""WITH {POST}, {ASKED}, s AS (SELECT query_id, doc, sum(qtf)::BIGINT AS score FROM q JOIN p USING (term) GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 10""",
-    "dense_topk": f"WITH {_dense_sql(25, 10)} SELECT query_id, vec_id, score, rank FROM t",
+    "dense_topk": f"WITH {_dense_sql(QUERIES_EVERY, 10)} SELECT query_id, vec_id, score, rank FROM t",
     "mean_pool_query": """WITH e AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
 a AS (SELECT label, i, avg(x) AS x FROM e GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM a GROUP BY 1),
 m AS (SELECT label AS query_id, list(x / n ORDER BY i) AS v FROM a JOIN n USING (label) GROUP BY 1),
@@ -311,11 +309,13 @@ ok AS (SELECT item_id AS query_id, doc FROM benchmark, dl WHERE (n = 0 OR make_d
 k1 AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM c1 SEMI JOIN ok USING (query_id, doc)),
 k2 AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM c2 SEMI JOIN ok USING (query_id, doc))
 {_RANKED.format(_FUSE.format('k1', 'k2'), 10)}""",
-    "rerank_lexical": f"""WITH {_bm25_sql(15, 8)}, h AS (SELECT r.query_id, r.doc, count(*) AS h FROM r JOIN q USING (query_id) JOIN p ON p.doc = r.doc AND p.term = q.term WHERE rank <= 15 GROUP BY ALL),
+    "rerank_lexical": f"""WITH {_bm25_sql()}, h AS (SELECT r.query_id, r.doc, count(*) AS h FROM r JOIN q USING (query_id) JOIN p ON p.doc = r.doc AND p.term = q.term WHERE rank <= 15 GROUP BY ALL),
 ls AS (SELECT query_id, doc, round(1 / (1 + exp(-(4.0::DOUBLE * h / (SELECT count(*) FROM q WHERE q.query_id = h.query_id) - 2))), 6) AS score FROM h)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM ls) WHERE rank <= 5""",
     "retrieval_metrics_at_k": f"WITH {JUDGED} SELECT query_id, k, {_ROUNDED} FROM x",
-    "retrieval_macro_stratified": f"WITH {JUDGED} SELECT k, 'all' AS stratum, count(*) AS n, {_MEANS} FROM x GROUP BY k UNION ALL SELECT k, label::VARCHAR, count(*), {_MEANS} FROM x GROUP BY k, label",
+    "retrieval_macro_stratified": f"""WITH {JUDGED}, z AS (SELECT k, 'all' AS stratum, count(*) AS n, {_MEANS} FROM x GROUP BY k UNION ALL SELECT k, label::VARCHAR, count(*), {_MEANS} FROM x GROUP BY k, label),
+y AS (SELECT k, stratum FROM (VALUES (5), (10), (20)) ks(k), (SELECT DISTINCT label::VARCHAR AS stratum FROM embeddings UNION ALL SELECT 'all'))
+SELECT k, stratum, coalesce(n, 0) AS n, {", ".join(METRICS)} FROM y LEFT JOIN z USING (k, stratum)""",
     "probe_hit_at_k": f"""WITH {JUDGED}, o AS (SELECT DISTINCT t.query_id, f FROM t LEFT JOIN f USING (query_id))
 SELECT count(*) AS n, round(avg(CASE WHEN f <= 1 THEN 1.0 ELSE 0 END), 4) AS hit_at_1, round(avg(CASE WHEN f <= 5 THEN 1.0 ELSE 0 END), 4) AS hit_at_5, round(avg(CASE WHEN f <= 10 THEN 1.0 ELSE 0 END), 4) AS hit_at_10,
 round(avg(coalesce(1.0::DOUBLE / f, 0)), 4) AS mrr, round(avg((f IS NULL)::INT), 4) AS zero_recall FROM o""",
@@ -325,11 +325,11 @@ SELECT CASE WHEN best < 0.55 THEN 'far' WHEN best < 0.70 THEN 'near' ELSE 'close
     "citation_metrics": f"WITH {_scored_sql(False)} SELECT conv_id, turn, h AS hits, recall, precision, f1 FROM u",
     "citation_metrics_article": f"WITH {_scored_sql(True)} SELECT conv_id, turn, h AS hits, recall, precision, f1 FROM u",
     "citation_micro_macro": f"""WITH {_scored_sql(False)} SELECT arm, count(*) AS n_records, round(avg(recall), 4) AS macro_recall, round(avg(precision), 4) AS macro_precision, round(avg(f1), 4) AS macro_f1,
-round(stddev_samp(f1), 4) AS std_f1, round(sum(h) / sum(ng), 4) AS micro_recall, round(sum(h) / sum(np), 4) AS micro_precision, sum(e)::BIGINT AS parse_errors FROM u GROUP BY arm""",
-    "display_rate": f"""WITH {RECORDS.replace("list_distinct(['L.A' || (s % 5) || '.K' || (n % 2), 'L.A' || (s % 3)])", "['L.A' || (s % 5) || '.K' || (n % 2), 'L.A' || (s % 3)]")},
-y AS (SELECT arm, CASE WHEN len(p) > 0 THEN round(len([x for x in p if len([y for y in w if y = x OR starts_with(y, x || '.')]) > 0]) / len(p), 4) END AS d FROM z)
-SELECT arm, count(*) AS n, round(avg(d), 4) AS display_rate FROM y GROUP BY arm""",
-    "ontology_score": f"""WITH {POST}, {_query_sql(6)}, o AS (SELECT query_id, doc, sum(qtf) AS score FROM q JOIN p USING (term) GROUP BY ALL),
+round(stddev_samp(recall), 4) AS std_recall, round(stddev_samp(precision), 4) AS std_precision, round(stddev_samp(f1), 4) AS std_f1,
+round(sum(h) / sum(ng), 4) AS micro_recall, round(sum(h) / sum(np), 4) AS micro_precision, sum(e)::BIGINT AS parse_errors, count_if(np = 0)::BIGINT AS without_predictions FROM u GROUP BY arm""",
+    "display_rate": f"""WITH {RECORDS}, y AS (SELECT arm, len([x for x in p if len([y for y in w if y = x OR starts_with(y, x || '.')]) > 0]) AS d, len(p) + e AS m FROM z)
+SELECT arm, count(*) AS n, round(avg(CASE WHEN m > 0 THEN round(d / m, 4) END), 4) AS display_rate, round(sum(d) / sum(m), 4) AS micro FROM y GROUP BY arm""",
+    "ontology_score": f"""WITH {POST}, {ASKED}, o AS (SELECT query_id, doc, sum(qtf) AS score FROM q JOIN p USING (term) GROUP BY ALL),
 w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM o) WHERE rank <= 20),
 b AS (SELECT query_id, doc, source, score / max(score) OVER (PARTITION BY query_id) + CASE WHEN lang = 'en' THEN 4.05::DOUBLE ELSE 2 END + CASE WHEN source = 'src' || (query_id % 20) THEN 2.5 ELSE 0 END AS base FROM w JOIN documents d ON d.doc_id = w.doc),
 s AS (SELECT query_id, doc, round(base + 0.25::DOUBLE * (sum(base) OVER (PARTITION BY query_id, source) - base), 6) AS score FROM b)

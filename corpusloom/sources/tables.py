@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept_table(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary folder; any other raises.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or "cluster" in master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read back, so that its work isn't done again by each that reads it, nor when an executor is lost."""
+    path = kept_table(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, errors) of a JSONL corpus: lines that don't parse, lack id or text, or repeat an id are errors."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "text", "document", "article", "clause", "_bad")])
