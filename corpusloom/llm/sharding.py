@@ -46,29 +46,39 @@ def allowed_moves(asked: np.ndarray, spare: np.ndarray) -> np.ndarray:
             over[j] -= cut
 
 
-def propagate(state: DataFrame, scratch: Scratch, quota: np.ndarray, rounds: int) -> DataFrame:
-    """Move counts in ``state`` (group, shard, n) for ``rounds`` rounds or until nothing moves."""
+def propagate(state: DataFrame, scratch: Scratch, quota: np.ndarray, patience: int) -> DataFrame:
+    """Move counts in ``state`` (group, shard, n) until no group is cut that could lie in one shard.
+
+    Where several shards hold equally many of a group, each round draws its home anew, so that one
+    that was full isn't asked for ever; ``patience`` rounds in a row that cut no fewer edges end it.
+    """
     shards, most = len(quota), int(max(quota.max(), 1))
     spark = state.sparkSession
-    for _ in range(rounds):
+    least, idle, turn = None, 0, 0
+    while idle < patience:
         load = np.zeros(shards, np.int64)
         for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect():  # a row for each shard
             load[r["shard"]] = r["n"]
-        best = Window.partitionBy("group").orderBy(F.desc("n"), F.xxhash64("group", "shard"))
+        best = Window.partitionBy("group").orderBy(F.desc("n"), F.xxhash64("group", "shard", F.lit(turn)))
         size = F.sum("n").over(Window.partitionBy("group"))
         ranked = state.select("group", "shard", "n", F.row_number().over(best).alias("rank"), size.alias("size"))
         ranked = ranked.withColumn("homes", F.greatest(F.lit(1), F.ceil(F.col("size") / most)))
         homes = ranked.where("rank <= homes").select("group", F.col("shard").alias("home"), F.col("rank").alias("seat"))
-        away = ranked.where("rank > homes").withColumn("seat", ((F.col("rank") - 1) % F.col("homes") + 1).cast("int"))
-        asks = away.join(homes, ["group", "seat"]).select("group", "shard", "home", "n")
+        others = ranked.where("rank > homes").withColumn("seat", ((F.col("rank") - 1) % F.col("homes") + 1).cast("int"))
+        asks = others.join(homes, ["group", "seat"]).select("group", "shard", "home", "n")
         asks = scratch.keep(asks)
         asked = np.zeros((shards, shards), np.int64)
         for r in asks.groupBy("shard", "home").agg(F.sum("n").alias("n")).collect():  # shards x shards at most
             asked[r["shard"], r["home"]] = r["n"]
+        away = int(asked.sum())
+        idle, least, turn = (0, away, turn + 1) if least is None or away < least else (idle + 1, least, turn + 1)
         flow = allowed_moves(asked, quota - load)
-        if not flow.sum():
+        if not away:
             scratch.drop(asks)
             break
+        if not flow.sum():
+            scratch.drop(asks)
+            continue
         pairs = spark.createDataFrame([(int(i), int(j), int(flow[i, j])) for i, j in zip(*np.nonzero(flow))], "shard int, home int, allowed long")
         rows = int(asked.astype(bool).sum())
         queued = running(asks, ["shard", "home"], ["group"], F.col("n"), "before", buckets_for(asks.count() // max(rows, 1)))
@@ -81,7 +91,7 @@ def propagate(state: DataFrame, scratch: Scratch, quota: np.ndarray, rounds: int
     return state
 
 
-def shard_documents(df: DataFrame, shards: int = 40, rounds: int = 6) -> DataFrame:
+def shard_documents(df: DataFrame, shards: int = 40, patience: int = 4) -> DataFrame:
     """Give every row of (doc_id, text) a shard and a gapless slot in it.
 
     Returns doc_id, size (UTF-8 bytes plus 16; a null text has none), text_crc32 (0 for null), law
@@ -121,7 +131,7 @@ def shard_documents(df: DataFrame, shards: int = 40, rounds: int = 6) -> DataFra
         ((F.col("start") + F.col("k")) % shards).cast("int").alias("shard"),
         F.expr(f"(linked - k + {shards} - 1) div {shards}").cast("long").alias("n"),
     )
-    state = propagate(scratch.keep(state), scratch, quota, rounds)
+    state = propagate(scratch.keep(state), scratch, quota, patience)
     scratch.drop(first, groups)
     load = np.zeros(shards, np.int64)
     for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect():
