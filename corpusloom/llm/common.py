@@ -81,6 +81,27 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def shield(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns that begin with an underscore renamed, as operators' own columns do so; and the new names by the old."""
+    taken, names, new = {c.lower() for c in df.columns}, [], {}
+    for c in df.columns:
+        name = c
+        if c.startswith("_"):
+            name = f"kept{c}"
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+            new[c] = name
+        names.append(name)
+    return df.toDF(*names), new
+
+
+def unshield(df: DataFrame, new: dict[str, str]) -> DataFrame:
+    """``df`` with the names that ``shield`` has changed as they were."""
+    old = {n: c for c, n in new.items()}
+    return df.toDF(*(old.get(c, c) for c in df.columns))
+
+
 def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return reduce(and_, [left[n] == right[n] for n in names], F.lit(True))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import Scratch, shield, small_batches, unshield
 
 UNKNOWN = "und"
 #: More labels than this aren't languages; it bounds what is broadcast about them.
@@ -250,7 +250,8 @@ def identify(df: DataFrame, model: PPMModel, text: str = "text", config: PPMConf
     """
     spark = df.sparkSession
     small_batches(spark)
-    df = df.drop("lang_pred", "score", "bits_per_byte")
+    df, new = shield(df.drop("lang_pred", "score", "bits_per_byte"))
+    text = new.get(text, text)
     shared = spark.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
     has = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
@@ -275,7 +276,7 @@ def identify(df: DataFrame, model: PPMModel, text: str = "text", config: PPMConf
             names = [f.name for f in batch.schema if f.name != "_letters"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(prob), pa.array(rate, pa.float64())], names=[*names, "lang_pred", "score", "bits_per_byte"])
 
-    return df.withColumn("_letters", has).mapInArrow(score, f"{fields}, lang_pred string, score double, bits_per_byte double")
+    return unshield(df.withColumn("_letters", has).mapInArrow(score, f"{fields}, lang_pred string, score double, bits_per_byte double"), new)
 
 
 def lengths_in_windows(m: PPMModel, raw: list[bytes], window: int) -> np.ndarray:

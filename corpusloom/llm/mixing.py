@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, buckets_for, running
+from .common import Scratch, buckets_for, running, shield, unshield
 
 
 @dataclass(frozen=True)
@@ -92,7 +92,8 @@ def mix(df: DataFrame, config: MixConfig = MixConfig(), text: str = "text", sour
     spark = df.sparkSession
     scratch = Scratch(spark, "mix")
     added = ["epoch", "mix_tokens", "mix_weight", "mix_block", "mix_order"]
-    df = df.drop(*added)
+    df, new = shield(df.drop(*added))
+    text, source, ident = (new.get(c, c) for c in (text, source, ident))
     tokens = F.greatest(F.lit(1), F.coalesce(F.regexp_count(f"`{text}`", F.lit(r"\S+")), F.lit(0))).cast("long")
     key = F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("-"))
     hashed = F.xxhash64(F.lit(config.seed), F.col(f"`{ident}`"), F.col(f"`{text}`"))
@@ -132,9 +133,10 @@ def mix(df: DataFrame, config: MixConfig = MixConfig(), text: str = "text", sour
     out = out.withColumn("epoch", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<bigint>"))))
     kept = [f"`{c}`" for c in df.columns if not c.startswith("_")]
     if not positions:
-        return out.select(*kept, F.col("epoch").cast("int").alias("epoch"))
+        return unshield(out.select(*kept, F.col("epoch").cast("int").alias("epoch")), new)
     place = blocks.select("_key", "_block", "epoch", "mix_block", "_before")
     out = out.join(place, ["_key", "_block", "epoch"])
     start = (F.col("epoch") * F.col("_total") + F.col("_before")) / F.col("_budget")
     total = F.broadcast(spark.createDataFrame([(n, int(t)) for n, t in totals.items()], "_key string, _total long"))
-    return out.join(total, "_key").select(*kept, F.col("epoch").cast("int").alias("epoch"), F.col("_tokens").alias("mix_tokens"), F.col("_weight").alias("mix_weight"), F.col("mix_block").cast("int").alias("mix_block"), start.alias("mix_order"))
+    out = out.join(total, "_key").select(*kept, F.col("epoch").cast("int").alias("epoch"), F.col("_tokens").alias("mix_tokens"), F.col("_weight").alias("mix_weight"), F.col("mix_block").cast("int").alias("mix_block"), start.alias("mix_order"))
+    return unshield(out, new)

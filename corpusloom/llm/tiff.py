@@ -21,6 +21,7 @@ from .common import small_batches
 # Fixed values of the TIFF 6.0 format.
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
+FILL_ORDER = 266
 SIZES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 7: ("s", 1), 8: ("h", 2), 9: ("i", 4), 10: ("ii", 8), 11: ("f", 4), 12: ("d", 8)}
 
 
@@ -234,7 +235,13 @@ def read_tiff(data: bytes) -> Iterator[Page]:
         tags, at = _directory(data, order, at)
         if WIDTH not in tags or LENGTH not in tags:
             raise ValueError("a page without a size")
+        for tag in (WIDTH, LENGTH, SAMPLES, BITS, ROWS, TILE_WIDTH, TILE_LENGTH, COMPRESSION, PREDICTOR, PLANAR, FILL_ORDER, PHOTOMETRIC, OFFSETS, COUNTS, TILE_OFFSETS, TILE_COUNTS):
+            values = tags.get(tag, [1])
+            if not values or not all(isinstance(v, int) and v >= 0 for v in values) or tag in (WIDTH, LENGTH, SAMPLES, ROWS, TILE_WIDTH, TILE_LENGTH) and values[0] < 1:
+                raise ValueError(f"tag {tag} holds no usable number")
         one = lambda tag, default: tags.get(tag, [default])[0]
+        if one(FILL_ORDER, 1) != 1 or one(PHOTOMETRIC, 1) == 0:
+            raise ValueError("reversed bits and white as zero aren't supported")
         width, height, samples, bits = one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1), one(BITS, 1)
         compression, predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
         if bits not in (8, 16) or set(tags.get(BITS, [bits])) != {bits} or one(PLANAR, 1) != 1 or predictor not in (1, 2):
@@ -290,7 +297,7 @@ def tiff_pages(df: DataFrame, content: str = "content") -> DataFrame:
             for i, p in enumerate(read_tiff(data or b"")):
                 bars = np.bincount(np.frombuffer(p.pixels, np.uint8) >> 4, minlength=16)
                 yield i, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, bars.tolist(), p.pixels, None
-        except (ValueError, struct.error, zlib.error) as e:
+        except (ValueError, IndexError, OverflowError, struct.error, zlib.error) as e:
             yield (None,) * 9 + (str(e),)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, shield, unshield
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ADDED = ("host", "path", "rule", "verdict")
@@ -68,7 +68,8 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
     scratch = Scratch(df.sparkSession, "sweep")
     if url in ADDED:
         raise ValueError(f"column {url} would be replaced; rename it first")
-    df = df.drop(*ADDED)
+    df, new = shield(df.drop(*ADDED))
+    url = new.get(url, url)
     host, path = host_and_path(F.col(f"`{url}`"))
     pages = df.withColumns({"_host": host, "_path": path})
     pages = pages.withColumns({"_key": host_key(F.col("_host")), "_page": F.lit(True), "_tie": F.xxhash64(*(f"`{c}`" for c in df.columns))})
@@ -85,11 +86,11 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
     swept = swept.join(F.broadcast(carried), "_part")
     fits = F.filter(F.coalesce("_open", "_carried"), lambda r: F.col("_path").startswith(r["path"]))
     best = F.array_max(F.transform(fits, lambda r: F.struct(r["size"], r["depth"], r["rule"], r["verdict"])))
-    out = swept.withColumn("_best", best)
-    return out.select(
+    out = swept.withColumn("_best", best).select(
         *(f"`{c}`" for c in df.columns),
         F.col("_host").alias("host"),
         F.col("_path").alias("path"),
         F.col("_best.rule").alias("rule"),
         F.coalesce("_best.verdict", F.lit(default)).alias("verdict"),
     )
+    return unshield(out, new)

@@ -100,3 +100,15 @@ def test_allowed_moves():
         np.fill_diagonal(asked, 0)
         got = sharding.allowed_moves(asked, spare)
         assert (got >= 0).all() and (got <= asked).all() and (got.sum(0) - got.sum(1) <= spare).all()
+
+
+def test_columns_with_the_operators_own_names(spark):
+    from corpusloom.llm import language_id, mixing
+
+    rows = [(i, f"some words here {i % 3}", "en", "s", f"http://a.net/{i}", 1, 2, 3, 4) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, url string, _key int, _hash int, _letters int, _tie int")
+    given = sorted(tuple(r) for r in df.collect())
+    back = lambda out: sorted(tuple(r) for r in out.select(*df.columns).distinct().collect())
+    assert back(mixing.mix(df)) == given
+    assert back(url_filters.judge(df, url_filters.rule_table(spark, RULES))) == given
+    assert back(language_id.identify(df, language_id.learn(df.select("doc_id", "lang", "text")))) == given
