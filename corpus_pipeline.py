@@ -52,7 +52,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: Learned code lengths, tokenizers and sampling without SQL: tested against a plain version instead.
+#: Learned code lengths, tokenizers and sampling aren't SQL's; stages' operators have plain versions in tests/llm.
 ORACLE_SQL = None
 
 

@@ -5,8 +5,12 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import ids as I
 from corpusloom.functions import text as T
-from corpusloom.operators import citations, documents, extract, graph, ranking
+from corpusloom.operators import cited as C
+from corpusloom.operators import citations, dense, documents, extract, graph, hybrid, parsing, ranking
+from corpusloom.operators import references as R
+from corpusloom.plans import legal
 from corpusloom.sources import tables
 
 
@@ -22,9 +26,102 @@ def test_roman(spark, given, want):
 def test_text(spark):
     assert one(spark, T.fold(F.lit("Él  đã-ÑU!"))) == "el da nu"
     assert one(spark, T.slug(F.lit("A b/c"))) == "a-b-c"
-    p = one(spark, T.parse_id(F.lit("L41_2024.A64.K1.đ")))
-    assert (p.law, p.article, p.clause, p.point) == ("L41_2024", 64, 1, "đ")
-    assert one(spark, T.parse_id(F.lit("nothing"))).law is None
+    assert one(spark, T.slug(F.lit("Người lao động ½ ﬁn ß"))) == "nguoi-lao-dong-12-fin"
+    assert one(spark, T.fold_text(F.lit("Điều 64, khoản 1/QĐ-BHXH"))) == "dieu 64 khoan 1/qd-bhxh"
+    assert one(spark, T.normalised(F.lit("  Điều  Này, ĐÃ "))) == "dieu nay, da"
+    assert str(one(spark, T.event_date(F.lit("ngày 01-02-2020, 3.4.2021 và 31/02/2030")))) == "2021-04-03"
+    assert one(spark, T.event_date(F.lit("từ 1949"))) is None
+    assert one(spark, T.thresholds(F.lit("đủ 15,5 năm hoặc 20  TUỔI, 75% từ 1/2/2020"))) == ["15,5 năm", "20 TUỔI", "1/2/2020", "2020"]
+    answer = "Issue: x [Điều 1]\nNguồn: Điều 5\nConclusion:  y"
+    assert one(spark, T.clean_answer(F.lit(answer))) == "x y"
+    assert one(spark, T.clean_answer(F.lit(answer), F.lit(" z "))) == "z"
+
+
+def test_ids(spark):
+    got = lambda x: tuple(one(spark, I.parse_id(F.lit(x))) or ())
+    assert got("L41_2024.A64.K1.đ") == ("L41_2024", None, 64, 1, "đ", None)
+    assert got("L41_2024") == ("L41_2024", None, None, None, None, None)
+    assert got("L41_2024.C2") == ("L41_2024", 2, None, None, None, None)
+    assert got("L41_2024.A3.T2") == ("L41_2024", None, 3, None, None, 2)
+    assert got("1L.A2") == got("nothing") == ()
+    assert one(spark, I.law_id(F.lit("41/2024/QH15"))) == "L41_2024" and one(spark, I.law_id(F.lit("ND143_2018"))) == "ND143_2018"
+    with pytest.raises(Exception, match="no law id or code"):
+        one(spark, I.law_id(F.lit("143/2018/ND-CP")))
+    assert one(spark, I.citation_label(F.lit("L41_2024.A64.K1.a"))) == "Điều 64 khoản 1 điểm a"
+    assert len(one(spark, I.semantic_id("condition", F.lit("x" * 200)))) == len("cond:") + 80
+    assert one(spark, I.parse_citation_id(F.lit("X.A1"), ["L"])) is None
+    assert one(spark, I.file_name(F.lit("gpt-4.1"))) == "gpt-4_1"
+
+
+def test_article_lists(spark):
+    got = lambda x: one(spark, C.expand_articles(F.lit(x)))
+    assert got("5-8, 6 va 12a") == ["5", "6", "7", "8", "6", "12a"]
+    assert got("9-7") == got("1-90") == got("1a-3") == []
+
+
+def test_lists_with_one_keyword(spark):
+    units = spark.createDataFrame([("L1_2020.A5.K1", "L1_2020.A5.K1", "L1_2020", 5, "Theo khoản 1, 2 Điều 6; điểm a, b khoản 3 Điều 7.")], "unit_id string, source_clause string, law string, article int, text string")
+    laws = spark.createDataFrame([("L1_2020", 9)], "law string, max_article int")
+    found = lambda **k: sorted(r.dst for r in R.internal_references(units, laws, **k).collect())
+    assert found() == ["L1_2020.A6.K1", "L1_2020.A7.K3.a"]
+    assert found(expand_lists=True) == ["L1_2020.A6.K1", "L1_2020.A6.K2", "L1_2020.A7.K3.a", "L1_2020.A7.K3.b"]
+
+
+def test_vectors_out_of_shape(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [1.0]), (7, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = dense.dense_topk(df.withColumnRenamed("vec_id", "query_id"), df, 1).collect()
+    assert sorted((r.query_id, r.vec_id) for r in got) == [(1, 2), (2, 7), (7, 2)]
+
+
+def test_hybrid(spark):
+    dense_rows = spark.createDataFrame([(1, "a", 0.9, 1), (1, "b", 0.8, 2), (2, "a", 0.9, 1)], "query_id long, id string, score double, rank int")
+    sparse_rows = spark.createDataFrame([(1, "c", 3.0, 1), (1, "b", 2.0, 2)], "query_id long, id string, score double, rank int")
+    items = spark.createDataFrame([("a", "L1", "L1.A1"), ("b", "L2", "L2.A1"), ("c", "L2", "L2.A1")], "id string, law string, article string")
+    laws = spark.createDataFrame([("L1", "2000-01-01"), ("L2", "2020-01-01")], "law string, d string").selectExpr("law", "date(d) AS effective")
+    repeals = spark.createDataFrame([("L1", "2020-01-01")], "law string, d string").selectExpr("law", "date(d) AS repealed")
+    dates = spark.createDataFrame([(1, "2021-05-05"), (2, None)], "query_id long, d string").selectExpr("query_id", "date(d) AS date")
+    run = lambda **k: hybrid.hybrid_retrieve(dense_rows, sparse_rows, items, laws, repeals, dates, "id", **k)
+    ids = lambda df, q: [r.id for r in df.where(f"query_id = {q}").orderBy("rank").collect()]
+    fused, audit = run()
+    assert ids(fused, 1) == ["b", "c"] and ids(fused, 2) == ["a"]
+    told = audit.where("query_id = 1").first()
+    assert (told.n_dense, told.n_sparse, told.n_post_temporal, told.n_fused, told.n_dropped_by_temporal) == (2, 2, 2, 2, 1)
+    assert told.dense_articles == ["L1.A1", "L2.A1"] and told.fused_articles == ["L2.A1"]
+    assert ids(run(mode="strict_today_default")[0], 2) == [] and len(ids(run(mode="always_skip")[0], 1)) == 3
+    with pytest.raises(ValueError, match="mode"):
+        run(mode="other")
+
+
+def test_walks(spark):
+    edges = spark.createDataFrame([("REFERENCES", "a", "b"), ("REFERENCES", "b", "c"), ("NEXT", "a", "d")], "type string, src string, dst string")
+    hits = spark.createDataFrame([(1, "a", 1), (2, "c", 1)], "query_id long, id string, rank int")
+    path = hybrid.Walk((hybrid.Step("REFERENCES"), hybrid.Step("REFERENCES")))
+    assert [(r.query_id, r.node) for r in hybrid.walk(hits.select("query_id", "id"), edges, path).collect()] == [(1, "c")]
+    wrong = hybrid.Walk((hybrid.Step("DROP"),))
+    assert wrong.problems() and not path.problems()
+    with pytest.raises(ValueError, match="unknown edge type"):
+        hybrid.walk(hits.select("query_id", "id"), edges, wrong)
+    got = hybrid.walk_retrieve(hits, edges, wrong, fallback=hybrid.Walk((hybrid.Step("NEXT"),))).collect()
+    assert {(r.query_id, r.id, r.source) for r in got} == {(1, "a", "seed"), (1, "d", "walk"), (2, "c", "seed")}
+
+
+def test_statutes_in_blocks_of_any_size(spark):
+    lines = spark.createDataFrame([("S", i, t) for i, t in enumerate(legal.STATUTE)], "law string, ord int, text string")
+    rows = lambda b: sorted((r.ord, r.role) for r in parsing.label_lines(lines, block=b).collect())
+    assert rows(1) == rows(4) == rows(2000)
+
+
+def test_laws_without_chapters(spark):
+    text = ["Điều 1. Một", "1. Khoản", "Chương II", "Hai", "Điều 2. Ba"]
+    lines = spark.createDataFrame([("D", i, t) for i, t in enumerate(text)], "law string, ord int, text string")
+    parts = parsing.parse_statutes(lines, synthetic=True)
+    assert sorted((r.id, r.title) for r in parts["chapters"].collect()) == [("D.C1", ""), ("D.C2", "Hai")]
+    assert sorted((r.id, r.chapter_id) for r in parts["articles"].collect()) == [("D.A1", "D.C1"), ("D.A2", "D.C2")]
+    assert parsing.parse_statutes(lines)["articles"].count() == 1
+
+
+def test_other_text_functions(spark):
     assert str(one(spark, T.event_date(F.lit("on 01/03/2020")))) == "2020-03-01"
     assert str(one(spark, T.event_date(F.lit("on 01/03/2020"), "compat"))) == "2020-12-31"
     assert one(spark, T.event_date(F.lit("Law 41/2024/QH15"))) is None
@@ -75,7 +172,7 @@ def test_spans(spark):
     got = extract.select_spans(spans, "id", [F.col("start"), -F.length("alias")]).orderBy("start").collect()
     assert [(r.alias, r.start, r.end) for r in got] == [("the", 0, 3), ("theory", 4, 10)]
     ranges = spark.createDataFrame([("5-8, 11",), ("1-90",)], "a string")
-    assert sorted(r.n for r in extract.expand_ranges(ranges, "a", "n").collect()) == [1, 5, 6, 7, 8, 11, 90]
+    assert sorted(r.n for r in extract.expand_ranges(ranges, "a", "n").collect()) == ["11", "5", "6", "7", "8"]
 
 
 def test_documents(spark):
