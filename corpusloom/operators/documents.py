@@ -6,12 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_state(df: DataFrame, key: str, order: list[str], marker: Column, value: Column, out: str) -> DataFrame:
-    """The value at the last row so far for which ``marker`` holds."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.last(F.when(marker, value), ignorenulls=True).over(w))
-
-
 def next_edges(df: DataFrame, parent: str, order: list[str], ident: str) -> DataFrame:
     """(parent, src, dst) for each pair of consecutive children."""
     before = F.lag(ident).over(Window.partitionBy(parent).orderBy(*order))

@@ -98,11 +98,13 @@ def running_last(df: DataFrame, key: list[str], order: list[str], block: Column,
     place = F.struct(*order)
     left = rows.groupBy(*key, "_block").agg(*(F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), place)).alias(f"_e_{n}") for n in values))
     before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = left.select(*key, "_block", *(F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in values))
+    names = [*key, "_block"]
+    carried = left.select(*(F.col(c).alias(f"_k_{i}") for i, c in enumerate(names)), *(F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in values))
     inside = Window.partitionBy(*key, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values}).join(carried, [*key, "_block"])
+    rows = rows.withColumns({f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values})
+    rows = rows.join(carried, [rows[c].eqNullSafe(carried[f"_k_{i}"]) for i, c in enumerate(names)])
     out = rows.withColumns({n: F.coalesce(f"_l_{n}", f"_c_{n}") for n in values})
-    return out.drop("_block", *(f"_{p}_{n}" for p in "vlc" for n in values))
+    return out.drop("_block", *(f"_k_{i}" for i in range(len(names))), *(f"_{p}_{n}" for p in "vlc" for n in values))
 
 
 def parse_statutes(lines: DataFrame, synthetic: bool = False, block: int = BLOCK_LINES) -> dict[str, DataFrame]:

@@ -13,6 +13,7 @@ from ..operators import documents as D
 from ..operators import extract as E
 from ..operators import graph as G
 from ..operators.dense import dense_pairs
+from ..operators.parsing import running_last
 from ..sources.tables import table
 
 CORPUS = ["src0", "src1", "src2"]
@@ -143,7 +144,8 @@ def contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def running_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with the user's last click before or at it."""
-    rows = D.running_state(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "click", F.col("event_id"), "last_click")
+    click = F.when(F.col("event_type") == "click", F.col("event_id"))
+    rows = running_last(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.to_date("ts"), {"last_click": click})
     return rows.select("event_id", "user_id", "last_click")
 
 
