@@ -5,6 +5,9 @@ in size bands; within a band, a Jaccard threshold bounds how many shingles two s
 PartEnum splits the shingle domain into first-level parts, so few differences are left for one of
 them, and each part into second-level parts, of which it enumerates the subsets that leave one
 out: two sets that are similar enough agree on one such subset at least, and share its signature.
+Subsets without a shingle say nothing, but sets that have nothing in common share them, the more
+the larger the corpus is. With spare parts, more than one part has few differences, and a set with
+fewer parts that can have an empty subset leaves the signatures of such subsets out.
 
 Each signature has a hub, the class with the most company, which all its other classes are compared
 with first; what is joined by that needs no further comparison. Then the classes of a small group
@@ -37,7 +40,9 @@ class JaccardConfig:
     """``threshold`` per cent. ``band``: ratio of a size band's bounds. ``split``: second-level parts;
     more make signatures more selective and more numerous. ``paired``: the most classes of a
     signature that are always paired with each other. Larger groups of a hub are split by
-    differences if their pairs are more than ``prefer`` times the rows that splitting takes."""
+    differences if their pairs are more than ``prefer`` times the rows that splitting takes.
+    ``spare``: the share of first-level parts that may have empty subsets; higher ones cost that many
+    more signatures, and with 0 all empty subsets have one."""
 
     words: int = 4
     threshold: int = 85
@@ -45,6 +50,7 @@ class JaccardConfig:
     split: int = 3
     paired: int = 32
     prefer: float = 1.0
+    spare: float = 0.0
     chunk: int = 1 << 21
 
 
@@ -166,22 +172,35 @@ class Bands:
         high = 2 * self.bounds(band)[1]
         return max(self.most(s) for s in range(max(high - 3, 0), high + 1))
 
+    def parts(self, band: int) -> tuple[int, int]:
+        """First-level parts, and how many of them at least hold one differing shingle or none."""
+        most, share = self.differences(band) // 2, self.config.spare
+        good = 1 + int(share * most + 2 * (share * most) ** 0.5)
+        return most + good, good
+
     def signatures(self, shingles: np.ndarray, band: int) -> np.ndarray:
-        """One differing shingle at most is left for one of (differences + 1) / 2 parts; so all
-        but one of its second-level parts agree."""
-        k = self.differences(band)
-        if not k:
+        """Of a part with one differing shingle at most, all but one of its second-level parts agree.
+
+        Signatures of empty subsets are left out if fewer parts than the good ones have such a
+        subset: of the parts that agree with a similar set, one at least then has none, and the
+        other set has the same shingles there, so that it gives that signature in any case.
+        """
+        if not self.differences(band):
             return np.zeros(0, np.uint64)
-        parts, split = (k + 2) // 2, self.config.split
+        (parts, good), split = self.parts(band), self.config.split
         sums = np.zeros(parts * split, np.uint64)
         with np.errstate(over="ignore"):
             g = shingles * C  # shingles are well mixed already
             part, within = ((g >> HALF) * np.uint64(parts)) >> HALF, ((shingles & LOW) * np.uint64(split)) >> HALF
-            np.add.at(sums, (part * np.uint64(split) + within).astype(np.int64), g ^ (g >> S31))
+            cell = (part * np.uint64(split) + within).astype(np.int64)
+            np.add.at(sums, cell, g ^ (g >> S31))
             grid = sums.reshape(parts, split)
             rest = grid.sum(1, dtype=np.uint64)[:, None] - grid
             place = np.arange(parts * split, dtype=np.uint64) + np.uint64(band) * np.uint64(1 << 40)
-            return scramble(rest.ravel() ^ scramble(place))
+            out = scramble(rest.ravel() ^ scramble(place))
+        held = np.bincount(cell, minlength=parts * split).reshape(parts, split)
+        empty = held.sum(1)[:, None] == held
+        return out if empty.any(1).sum() >= good else out[~empty.ravel()]
 
     def sketch(self, shingles: np.ndarray) -> np.ndarray:
         """Parities of shingle counts in a power of two of cells; a differing shingle flips one."""

@@ -98,7 +98,7 @@ def test_many_near_misses(spark, words=5, threshold=80):
         for _ in range(i % 8):
             w[rng.randrange(120)] = rng.choice("abcde")
         rows.append((i, " ".join(w[: rng.choice([120, 120, 110, 100])])))
-    got = nd.link_components(spark.createDataFrame(rows, "doc_id long, text string"), nd.JaccardConfig(words=words, threshold=threshold)).collect()
+    got = nd.link_components(spark.createDataFrame(rows, "doc_id long, text string"), nd.JaccardConfig(words=words, threshold=threshold, spare=0.05)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(truth(rows, words, threshold))
 
 
@@ -107,10 +107,23 @@ def test_columns_of_any_name(spark):
     assert sorted(tuple(r) for r in nd.keep_one(df).collect()) == [(1, "a b c d e", 1, 2, 3), (3, "y", 0, 0, 0)]
 
 
+def test_unlike_sets_share_no_empty_subset():
+    rng, shared = np.random.default_rng(5), []
+    for spare in (0.0, 0.05):
+        bands, seen = nd.Bands(nd.JaccardConfig(words=5, threshold=80, spare=spare)), []
+        for _ in range(60):
+            s = nd.distinct(rng.integers(0, 1 << 63, 700, dtype=np.uint64))
+            seen.append(bands.signatures(s, bands.of(700)))
+        n = np.unique(np.concatenate(seen), return_counts=True)[1]
+        shared.append(int(n[n > 1].sum()))
+    assert shared[1] < shared[0] / 5  # of these sets, few have more such parts than there are spare ones
+
+
+@pytest.mark.parametrize("spare", [0.0, 0.05, 0.3])
 @pytest.mark.parametrize("seed", range(3))
-def test_signatures_and_sketches_lose_nothing(seed):
+def test_signatures_and_sketches_lose_nothing(seed, spare):
     rng = np.random.default_rng(seed)
-    bands = nd.Bands(C)
+    bands = nd.Bands(nd.JaccardConfig(spare=spare))
     for _ in range(300):
         n = int(rng.integers(1, 400))
         a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
