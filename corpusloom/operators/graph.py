@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 
 def merge_nodes(rows: DataFrame, key: list[str], order: str, first: list[str], longest: list[str], union: list[str]) -> DataFrame:
     """One row a key: the first value of ``first``, the longest of ``longest`` (ties: the first) and the
@@ -60,6 +66,52 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int, undirected: bool = Fal
     return found.where("seed <> node").groupBy("seed", "node").agg(F.min("hop").alias("hop"))
 
 
+#: Rows of a front that is sent to all tasks; a larger one is joined by shuffles.
+SENT = 500_000
+
+
+def _bit_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, bit, nodes, node_sum) of rows (node, block, mask)."""
+    for batch in batches:
+        node, block, mask = (batch.column(c).to_numpy() for c in ("node", "block", "mask"))
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        for rows in np.split(order, cuts) if len(order) else ():
+            bits = np.unpackbits(mask[rows].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64)
+            columns = np.full(64, block[rows[0]]), np.arange(64), bits.sum(0), node[rows] @ bits
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "bit", "nodes", "node_sum"])
+
+
+def reach_counts(seeds: DataFrame, edges: DataFrame, hops: int, undirected: bool = False) -> DataFrame:
+    """(seed, hop, nodes, node_sum): how many nodes, and the sum of their ids, ``expand`` finds from each seed at each hop.
+
+    64 seeds walk together as the bits of a word, so that an edge is walked once for all of them,
+    and no pair of a seed and a node has a row of its own. Ids are whole numbers.
+    """
+    ways = edges.where("src is not null and dst is not null").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    if undirected:
+        ways = ways.union(ways.select("dst", "src"))
+    ways = stored(ways.repartition("dst"), "ways")  # by target, so that what meets there is summed up before it moves
+    place = F.monotonically_increasing_id()
+    numbered = seeds.where("seed is not null").select(F.col("seed").cast("long").alias("seed")).distinct().orderBy("seed").withColumn("place", place)
+    numbered = stored(numbered.select("seed", F.expr("place div 64").alias("block"), (F.col("place") % 64).alias("bit")), "seeds")
+    front = stored(numbered.select(F.col("seed").alias("node"), "block", F.expr("shiftleft(1L, cast(bit as int))").alias("mask")).groupBy("node", "block").agg(F.bit_or("mask").alias("mask")), "front")
+    seen, found = front, []
+    for hop in range(1, hops + 1):
+        near = F.broadcast(front) if front.count() <= SENT else front.hint("shuffle_hash")
+        met = ways.join(near, ways["src"] == near["node"]).groupBy(F.col("dst").alias("node"), "block").agg(F.bit_or("mask").alias("mask"))
+        before = seen.groupBy("node", "block").agg(F.bit_or("mask").alias("old"))
+        fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
+        front = stored(met.join(before, ["node", "block"], "left").select("node", "block", fresh.alias("mask")).where("mask <> 0"), "front")
+        seen = seen.union(front)
+        found.append(front.mapInArrow(_bit_sums, "block long, bit long, nodes long, node_sum long").withColumn("hop", F.lit(hop)))
+    sums = found[0]
+    for more in found[1:]:
+        sums = sums.union(more)
+    sums = sums.groupBy("block", "bit", "hop").agg(F.sum("nodes").alias("nodes"), F.sum("node_sum").alias("node_sum")).where("nodes > 0")
+    return numbered.join(sums, ["block", "bit"]).select("seed", "hop", "nodes", "node_sum")
+
+
 def check_unique(df: DataFrame, key: list[str], name: str) -> DataFrame:
     return df.groupBy(*key).count().where("count > 1").agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("rule"), "violations")
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import graph as G
 from corpusloom.plans import catalogue
 
 
@@ -119,3 +120,16 @@ def test_statements_about_texts_of_any_length(spark, small, tmp_path, texts):
         (tmp_path / f"{t}.parquet").symlink_to(f"{small}/{t}.parquet")
     spark.createDataFrame(rows, "doc_id long, text string").toPandas().astype({"doc_id": "Int64", "text": "string"}).to_parquet(tmp_path / "documents.parquet")
     same(spark, str(tmp_path), "filtered_extractions")
+
+
+@pytest.mark.parametrize("sent", [G.SENT, 0])
+@pytest.mark.parametrize("undirected", [False, True])
+def test_seeds_that_walk_together_reach_what_each_reaches(spark, undirected, sent, monkeypatch):
+    monkeypatch.setattr(G, "SENT", sent)
+    rng = random.Random(4)
+    ends = [(rng.randint(-150, 150), rng.randint(-150, 150)) for _ in range(350)] + [(5, 5), (5, None), (None, 6), (None, None)]
+    edges = spark.createDataFrame(ends, "src long, dst long")
+    seeds = spark.createDataFrame([(i,) for i in [*range(-90, 90), 3, 3, None, 9999]], "seed long")
+    got = sorted(tuple(r) for r in G.reach_counts(seeds, edges, 4, undirected).collect())
+    plain = G.expand(seeds, edges, 4, undirected).groupBy("seed", "hop").agg(F.count(F.lit(1)), F.sum("node"))
+    assert got == sorted(tuple(r) for r in plain.collect()) and len(got) > 180
