@@ -19,13 +19,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def pattern_spans(text: Column, pattern: str, groups: dict[str, int] | None = None) -> Column:
+def pattern_spans(text: Column, pattern: str, groups: dict[str, int] | None = None, needs: tuple[str, ...] = ()) -> Column:
     """Array of (start, end, span, and a string for each of ``groups``, null where it took no part), leftmost first.
 
     ``pattern`` must not match the empty string. Offsets count characters. What lies between two
-    matches is what ``split`` leaves, so that the lengths of both give every place.
+    matches is what ``split`` leaves, so that the lengths of both give every place. ``needs``: words
+    that each match holds as they are; a text without one of them is not searched.
     """
     names = list(groups or {})
+    kind = "".join(f",`{n}`:string" for n in names)
+    nothing = F.expr(f"cast(array() as array<struct<start:int,end:int,span:string{kind}>>)")
 
     def starts(found: Column, between: Column) -> Column:
         step = lambda acc, i: F.struct(
@@ -40,7 +43,10 @@ def pattern_spans(text: Column, pattern: str, groups: dict[str, int] | None = No
         zipped = _zipped({"start": begins, "span": found, **dict(zip(names, parts))})
         return F.transform(zipped, lambda r: F.struct(r.getField("start").alias("start"), (r.getField("start") + F.length(r.getField("span"))).alias("end"), r.getField("span").alias("span"), *(F.nullif(r.getField(n), F.lit("")).alias(n) for n in names)))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), listed)
+    every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    for word in needs:
+        every = F.when(~F.contains(text, F.lit(word)), F.array().cast("array<string>")).otherwise(every)
+    return let(every, lambda found: F.when(F.size(found) == 0, nothing).otherwise(listed(found)))
 
 
 def overlaps(span: Column, others: Column) -> Column:

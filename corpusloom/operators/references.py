@@ -32,6 +32,18 @@ EXTERNAL = {
 POINT = (rf"(?U){SEVERAL}điểm\s+[a-zđ](?:{ALSO}(?:điểm\s+)?[a-zđ])*\s+khoản\s+(\d+)\s+Điều\s+(\d+){OWN}", {"clause": 1, "article": 2})
 CLAUSE = (rf"(?U){SEVERAL}khoản\s+\d+(?:{ALSO}(?:khoản\s+)?\d+)*\s+Điều\s+(\d+){OWN}", {"article": 1})
 ARTICLE = (rf"(?U){SEVERAL}Điều\s+\d+(?:{ALSO}Điều\s+\d+)*{OWN}", {})
+#: Words that every match of a pattern holds.
+NEEDS = {
+    "article_of_coded": ("Điều", "của", "số"),
+    "article_of_named": ("Điều", "của", "luật"),
+    "coded": ("số",),
+    "named": ("Bộ", "luật"),
+    "points": ("điểm", "khoản", "Điều"),
+    "clauses": ("khoản", "Điều"),
+    "articles": ("Điều",),
+    "own_article": ("Điều", "này"),
+    "own_clause": ("khoản", "này"),
+}
 SELF_ARTICLE, SELF_CLAUSE = r"(?U)Điều\s+này", r"(?U)khoản\s+này"
 AMEND, REPEAL, ENDS = r"(?U)Sửa\s+đổi(?:,\s*bổ\s+sung)?", r"(?U)Bãi\s+bỏ", "hết hiệu lực"
 DEFINITION, TERM, DEFINING = r"(?Us)^(.+?)\s+là\s+(.+)$", 120, 3
@@ -64,12 +76,21 @@ def _external_row(name: str, groups: dict[str, int]) -> Callable[[Column], Colum
     return row
 
 
+def _without_external(units: DataFrame) -> DataFrame:
+    """Adds ``_taken``, the places that external references take, without reading their parts."""
+    rows = units.withColumn("_taken", F.expr(NONE))
+    for name, (pattern, _) in EXTERNAL.items():
+        free = apart_from(pattern_spans(F.col("text"), pattern, needs=NEEDS[name]), F.col("_taken"))
+        rows = rows.withColumn("_taken", F.concat("_taken", places(free)))
+    return rows
+
+
 def _with_external(units: DataFrame) -> DataFrame:
     """Adds ``_refs``, the external references by priority, and ``_taken``, the places they take."""
     rows, lists = units.withColumn("_taken", F.expr(NONE)), []
     for name, (pattern, groups) in EXTERNAL.items():
         kept = f"_{name}"
-        rows = rows.withColumn(kept, apart_from(pattern_spans(F.col("text"), pattern, groups), F.col("_taken"))).withColumn("_taken", F.concat("_taken", places(F.col(kept))))
+        rows = rows.withColumn(kept, apart_from(pattern_spans(F.col("text"), pattern, groups, NEEDS[name]), F.col("_taken"))).withColumn("_taken", F.concat("_taken", places(F.col(kept))))
         lists.append(F.transform(kept, _external_row(name, groups)))
     return rows.withColumn("_refs", F.concat(*lists)).drop(*(f"_{name}" for name in EXTERNAL))
 
@@ -80,14 +101,14 @@ def external_references(units: DataFrame) -> DataFrame:
     return rows.select("src", "source_clause", "law", "r.*")
 
 
-def _listed(spans: Column, inner: str, dst, kind: str, head: str = "(?s)^(.*)$") -> Column:  # noqa: ANN001
+def _listed(spans: Column, inner: str, dst, kind: str, head: str = "(?s)^(.*)$", bounded: bool = False) -> Column:  # noqa: ANN001
     """A reference for each place that ``inner`` finds in the ``head`` of each span."""
-    each = lambda s: F.transform(F.regexp_extract_all(F.regexp_extract(s["span"], head, 1), F.lit(inner), F.lit(1)), lambda x: _internal(dst(s, x), kind, s))
+    each = lambda s: F.transform(F.filter(F.regexp_extract_all(F.regexp_extract(s["span"], head, 1), F.lit(inner), F.lit(1)), lambda x: F.lit(not bounded) | x.try_cast("int").isNotNull()), lambda x: _internal(dst(s, x), kind, s, bound=x.cast("int") if bounded else _null("int")))
     return F.flatten(F.transform(spans, each))
 
 
-def _internal(dst: Column, kind: str, s: Column, is_self: bool = False) -> Column:
-    return F.struct(dst.alias("dst"), F.lit(kind).alias("kind"), s["span"].alias("span"), s["start"].alias("char_offset"), F.lit(is_self).alias("is_self"))
+def _internal(dst: Column, kind: str, s: Column, is_self: bool = False, bound: Column | None = None) -> Column:
+    return F.struct(dst.alias("dst"), F.lit(kind).alias("kind"), s["span"].alias("span"), s["start"].alias("char_offset"), F.lit(is_self).alias("is_self"), (_null("int") if bound is None else bound).alias("bound"))
 
 
 def internal_references(units: DataFrame, laws: DataFrame, expand_lists: bool = False) -> DataFrame:
@@ -98,9 +119,9 @@ def internal_references(units: DataFrame, laws: DataFrame, expand_lists: bool =
     ``expand_lists``. Places that external references take are left alone, as are articles that
     amend other laws (leave their units out with ``without_amending``).
     """
-    rows, law = _with_external(units).drop("_refs").join(laws, "law"), F.col("law")
+    rows, law = _without_external(units), F.col("law")
     for name, pattern in (("points", POINT), ("clauses", CLAUSE), ("articles", ARTICLE), ("own_article", (SELF_ARTICLE,)), ("own_clause", (SELF_CLAUSE,))):
-        rows = rows.withColumn(f"_{name}", apart_from(pattern_spans(F.col("text"), *pattern), F.col("_taken"))).withColumn("_taken", F.concat("_taken", places(F.col(f"_{name}"))))
+        rows = rows.withColumn(f"_{name}", apart_from(pattern_spans(F.col("text"), *pattern, needs=NEEDS[name]), F.col("_taken"))).withColumn("_taken", F.concat("_taken", places(F.col(f"_{name}"))))
     points, clauses, articles, own_article, own_clause = (F.col(f"_{n}") for n in ("points", "clauses", "articles", "own_article", "own_clause"))
     letter, number = r"(?U)điểm\s+([a-zđ])", r"(?U)khoản\s+(\d+)"
     if expand_lists:
@@ -110,12 +131,13 @@ def internal_references(units: DataFrame, laws: DataFrame, expand_lists: bool =
     refs = F.concat(
         _listed(points, letter, lambda s, x: F.concat(under(s["article"], s["clause"]), F.lit("."), F.lower(x)), "REFERENCES_POINT", r"(?Us)^(.*?)\s+khoản"),
         _listed(clauses, number, lambda s, x: under(s["article"], x), "REFERENCES_CLAUSE", r"(?Us)^(.*?)\s+Điều"),
-        F.filter(_listed(articles, r"(?U)Điều\s+(\d+)", lambda s, x: numbered(x), "REFERENCES_ARTICLE"), lambda r: ids.parse_id(r["dst"])["article"].between(1, F.col("max_article"))),
+        _listed(articles, r"(?U)Điều\s+(\d+)", lambda s, x: numbered(x), "REFERENCES_ARTICLE", bounded=True),
         F.transform(own_article, lambda s: _internal(ids.article_id(law, F.col("article")), "REFERENCES_ARTICLE", s, True)),
         F.transform(own_clause, lambda s: _internal(F.col("source_clause"), "REFERENCES_CLAUSE", s, True)),
     )
-    rows = rows.select(F.col("unit_id").alias("src"), "source_clause", "law", F.explode(refs).alias("r"))
-    return rows.select("src", "source_clause", "law", "r.*")
+    # laws are met last, so that their join deals out references and not the work on texts
+    rows = rows.select(F.col("unit_id").alias("src"), "source_clause", "law", F.explode(refs).alias("r")).join(laws, "law")
+    return rows.where("r.bound is null or r.bound between 1 and max_article").select("src", "source_clause", "law", "r.*").drop("bound")
 
 
 def definitions(clauses: DataFrame) -> DataFrame:

@@ -194,3 +194,22 @@ def test_r_precision(spark):
     gold = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (3, "z"), (4, "m"), (4, "n")], "query_id long, doc string")
     got = {(r.query_id, r.k): r.r_precision for r in ranking.retrieval_metrics(ranked, gold, [1, None], "doc").collect()}
     assert got == {(q, k): v for q, v in ((1, pytest.approx(1 / 3)), (2, None), (3, 0.0), (4, 0.5)) for k in (1, None)}
+
+
+def test_only_texts_that_hold_a_pattern_s_words_are_searched(spark):
+    from corpusloom.functions.spans import pattern_spans
+
+    rows = spark.createDataFrame([("khoản 1 Điều 2",), ("khoản 1",), ("",), (None,)], "text string")
+    found = rows.select(pattern_spans(F.col("text"), r"(?:khoản\s+)?\d", {"n": 0}, needs=("khoản", "Điều")).alias("s")).collect()
+    assert [None if r.s is None else [(x.start, x.end, x.n) for x in r.s] for r in found] == [[(0, 7, "khoản 1"), (13, 14, "2")], [], [], None]
+
+
+def test_articles_beyond_a_law_s_last_or_any_number_are_no_references(spark):
+    units = spark.createDataFrame([("u", "c", "A_1", 5, "Áp dụng Điều 0, Điều 7 và Điều 8; Điều 99999999999 và Điều này.")], "unit_id string, source_clause string, law string, article int, text string")
+    got = R.internal_references(units, spark.createDataFrame([("A_1", 7)], "law string, max_article int")).collect()
+    assert sorted((r.dst, r.is_self) for r in got) == [("A_1.A5", True), ("A_1.A7", False)]
+
+
+def test_few_keys_of_many_texts_are_spread_over_tasks(spark, tmp_path):
+    spark.range(50).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert legal._clauses(spark, str(tmp_path)).rdd.getNumPartitions() >= 4
