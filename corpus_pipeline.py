@@ -13,7 +13,7 @@ from corpusloom.llm.queries import TOKENIZER
 RAW_BITS = 8.0
 
 #: Near-duplicates here share four fifths of their five-word shingles; op8's contract has bounds of its own.
-NEAR = near_duplicates.JaccardConfig(words=5, threshold=80, spare=0.05)
+NEAR = near_duplicates.JaccardConfig(words=5, threshold=80, spare=0.05, prefer=0.1)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

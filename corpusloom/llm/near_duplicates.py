@@ -5,9 +5,11 @@ in size bands; within a band, a Jaccard threshold bounds how many shingles two s
 PartEnum splits the shingle domain into first-level parts, so few differences are left for one of
 them, and each part into second-level parts, of which it enumerates the subsets that leave one
 out: two sets that are similar enough agree on one such subset at least, and share its signature.
-Subsets without a shingle say nothing, but sets that have nothing in common share them, the more
-the larger the corpus is. With spare parts, more than one part has few differences, and a set with
-fewer parts that can have an empty subset leaves the signatures of such subsets out.
+Subsets of few or common shingles say little, but sets that have hardly anything in common share
+them, the more the larger the corpus is. With spare parts, similar sets share more signatures than
+one, so that a set can leave some out: those of its smallest subsets, then those that most classes
+have. Both are taken in whole levels of an order that depends on the signature only, so that two sets
+together lose no more shared ones than one of them may leave out, and still share one.
 
 Each signature has a hub, the class with the most company, which all its other classes are compared
 with first; what is joined by that needs no further comparison. Then the classes of a small group
@@ -15,9 +17,10 @@ are paired, if they lie in different components. Groups that have more pairs tha
 differences, so that a hub never has more rows than a fixed number for each class: classes x
 and y that differ from the hub in Dx and Dy differ from each other in Dx xor Dy, so they can only
 be similar if Dx and Dy share enough, and then they share one of the first few elements of both
-(what the hub lacks first, in a fixed order). Classes are dealt by these elements, a bounded number
-of rows for each, and meet only there. Comparisons look at a parity sketch first (it never rejects
-a similar pair), then at the whole sets.
+(in a fixed order: those last that one other class, the hub's witness, has too, as most classes may;
+before them what the hub lacks). Classes are dealt by these elements, a bounded number of rows for
+each, and meet only there. Comparisons look at a parity sketch first (it never rejects a similar
+pair), for classes of small groups as they meet, then at the whole sets.
 """
 
 from __future__ import annotations
@@ -41,8 +44,8 @@ class JaccardConfig:
     more make signatures more selective and more numerous. ``paired``: the most classes of a
     signature that are always paired with each other. Larger groups of a hub are split by
     differences if their pairs are more than ``prefer`` times the rows that splitting takes.
-    ``spare``: the share of first-level parts that may have empty subsets; higher ones cost that many
-    more signatures, and with 0 all empty subsets have one."""
+    ``spare``: the share of first-level parts that signatures may be left out for; higher ones cost
+    that many more signatures, and with 0 none is left out."""
 
     words: int = 4
     threshold: int = 85
@@ -54,6 +57,8 @@ class JaccardConfig:
     chunk: int = 1 << 21
 
 
+#: The low bits of a signature are its band.
+BAND = 255
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -178,12 +183,21 @@ class Bands:
         good = 1 + int(share * most + 2 * (share * most) ** 0.5)
         return most + good, good
 
+    def shared(self, band: int) -> int:
+        """Signatures that similar sets share at least, plus the shingles that they differ in, less those left out here.
+
+        Of P parts, equal ones share all signatures (of more than one second-level part) and those
+        with one difference share one; with D differences, 2 P - D are shared at least.
+        """
+        parts, good = self.parts(band)
+        return 2 * parts - good // 2
+
     def signatures(self, shingles: np.ndarray, band: int) -> np.ndarray:
         """Of a part with one differing shingle at most, all but one of its second-level parts agree.
 
-        Signatures of empty subsets are left out if fewer parts than the good ones have such a
-        subset: of the parts that agree with a similar set, one at least then has none, and the
-        other set has the same shingles there, so that it gives that signature in any case.
+        Half as many signatures as there are good parts may be left out, those of the smallest
+        subsets, all of one size or none. What two sets share and one of them lacks is then smaller than the
+        larger of their bounds, so that the set with that bound leaves it out too: no more are lost.
         """
         if not self.differences(band):
             return np.zeros(0, np.uint64)
@@ -197,10 +211,12 @@ class Bands:
             grid = sums.reshape(parts, split)
             rest = grid.sum(1, dtype=np.uint64)[:, None] - grid
             place = np.arange(parts * split, dtype=np.uint64) + np.uint64(band) * np.uint64(1 << 40)
-            out = scramble(rest.ravel() ^ scramble(place))
+            out = scramble(rest.ravel() ^ scramble(place)) & ~np.uint64(BAND) | np.uint64(band & BAND)
+        if good < 2:
+            return out
         held = np.bincount(cell, minlength=parts * split).reshape(parts, split)
-        empty = held.sum(1)[:, None] == held
-        return out if empty.any(1).sum() >= good else out[~empty.ravel()]
+        size = (held.sum(1)[:, None] - held).ravel()
+        return out[size >= np.partition(size, good // 2)[good // 2]]
 
     def sketch(self, shingles: np.ndarray) -> np.ndarray:
         """Parities of shingle counts in a power of two of cells; a differing shingle flips one."""
@@ -332,20 +348,22 @@ def met(pairs: DataFrame, sets: DataFrame, what: str, threshold: int) -> DataFra
     return pairs.join(one, "a").join(two, "b").where(can_link(F.col("na"), F.col("nb"), threshold))
 
 
-def alike(pairs: DataFrame, sketches: DataFrame, config: JaccardConfig) -> DataFrame:
-    """``pairs`` (a, b) without those that their sketches rule out."""
-    t = config.threshold
+def few_flips(xa: str, xb: str, total: Column, config: JaccardConfig) -> Column:
+    """Whether two sketches allow a link of sets of ``total`` shingles together."""
 
-    def folded(x: Column, size: Column) -> Column:
+    def folded(x: str, size: Column) -> Column:
         half = F.floor(F.size(x) / 2).cast("int")
-        return F.when(F.size(x) > size, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
+        return F.when(F.size(x) > size, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))).otherwise(F.col(x))
 
-    near = met(pairs, sketches, "sketch", t)
-    size = F.least(F.size("xa"), F.size("xb"))
-    flips = F.aggregate(F.zip_with(folded(F.col("xa"), size), folded(F.col("xb"), size), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda acc, x: acc + x)
-    total = F.col("na") + F.col("nb")
-    most = total - 2 * F.ceil(total * t / (100 + t) - 1e-6)
-    return near.where(flips <= most).select("a", "b")
+    t, size = config.threshold, F.least(F.size(xa), F.size(xb))
+    flips = F.aggregate(F.zip_with(folded(xa, size), folded(xb, size), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda acc, x: acc + x)
+    return flips <= total - 2 * F.ceil(total * t / (100 + t) - 1e-6)
+
+
+def alike(pairs: DataFrame, sketches: DataFrame, config: JaccardConfig) -> DataFrame:
+    """``pairs`` (a, b) without those that their sketches rule out."""
+    near = met(pairs, sketches, "sketch", config.threshold)
+    return near.where(few_flips("xa", "xb", F.col("na") + F.col("nb"), config)).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
@@ -359,12 +377,42 @@ def most_apart(size: Column, threshold: int) -> Column:
     return F.floor(size * (100 - threshold) / (100 + threshold) + 1e-6)
 
 
-def hubs_to_split(large: DataFrame, home: DataFrame, config: JaccardConfig) -> DataFrame:
-    """(hub) whose groups in ``large`` (sig, hub, cls, comp, n) have more pairs of different components than splitting has rows."""
+def thinned(members: DataFrame, sizes: DataFrame, config: JaccardConfig) -> DataFrame:
+    """``members`` (sig, m, times, cls) without the largest groups that a class can do without.
+
+    ``sizes`` is (cls, n). A class that shares s signatures at least with any similar set of a band
+    leaves out all those of some number of classes or more, if they are fewer than s: a signature
+    that one set of a pair lacks is one that the set with the smaller bound leaves out, so that a
+    similar pair still shares one.
+    """
+    bands = Bands(config)
+    last = bands.of((sizes.agg(F.max("n")).first()[0] or 1) * 100 // config.threshold)
+    band = F.col("sig").bitwiseAND(F.lit(BAND)).cast("int")
+    base, high = (F.element_at(F.array(*(F.lit(x) for x in xs)), band + 1) for xs in zip(*((bands.shared(b), bands.bounds(b)[1]) for b in range(last + 1))))
+    both = F.col("n") + F.least(high, F.floor(F.col("n") * 100 / config.threshold))
+    known = members.join(sizes, "cls").withColumn("band", band).withColumn("share", base - most_apart(both, config.threshold))
+    larger = Window.partitionBy("cls", "band").orderBy(F.col("m").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = known.withColumn("upto", F.sum("times").over(larger)).where(F.col("upto") >= F.col("share"))
+    return kept.select("sig", F.count(F.lit(1)).over(Window.partitionBy("sig")).alias("m"), "cls").where("m > 1")
+
+
+def sharing(placed: DataFrame, sketches: DataFrame, config: JaccardConfig) -> DataFrame:
+    """Pairs (a, b) of different components that share a signature of ``placed``, if their sketches allow a link."""
+    rows = placed.join(sketches.select("cls", "sketch"), "cls")
+    one, two = (rows.select("sig", *(F.col(c).alias(f"{c}{i}") for c in ("cls", "comp", "n", "sketch"))) for i in (1, 2))
+    fits = (F.col("comp1") != F.col("comp2")) & (F.col("cls1") < F.col("cls2")) & can_link(F.col("n1"), F.col("n2"), config.threshold)
+    met = one.join(two, (one["sig"] == two["sig"]) & fits & few_flips("sketch1", "sketch2", F.col("n1") + F.col("n2"), config))
+    return met.select(F.col("cls1").alias("a"), F.col("cls2").alias("b"))
+
+
+def hubs_to_split(large: DataFrame, each: DataFrame, config: JaccardConfig) -> DataFrame:
+    """(hub) whose groups in ``large`` (sig, hub, cls, comp, n) have more pairs of different components than splitting has rows.
+
+    ``each`` holds the classes of ``large`` other than hubs once for each hub: (hub, cls, comp, n, home).
+    """
     groups = large.groupBy("hub", "sig", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("hub", "sig").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("inside"))
     pairs = groups.groupBy("hub").agg((F.sum(F.col("m") * F.col("m") - F.col("inside")) / 2).alias("pairs"))
     k = most_apart(2 * F.col("n"), config.threshold)
-    each = large.where(F.col("cls") != F.col("hub")).select("hub", "cls", "comp", "n").distinct().join(home, "hub")
     rows = each.groupBy("hub").agg(F.sum(F.when(F.col("comp") == F.col("home"), k / 4 + 1).otherwise(k + 1)).alias("rows"))
     return pairs.join(rows, "hub").where(F.col("pairs") * config.prefer > F.col("rows")).select("hub")
 
@@ -373,20 +421,24 @@ def difference_keys(near: DataFrame, sets: DataFrame, config: JaccardConfig) ->
     """(hub, key, at, cls, comp, n, d, first) for classes of large groups; ``near`` is (hub, cls, comp, n, home).
 
     ``home`` is the hub's component. A class differs from its hub in ``d`` shingles; those that the
-    hub lacks come first, each part in order of its hashes, and ``at`` is the place of ``key`` in
-    that list. A pair x, y differs in k = most(|x| + |y|) at most, so that Dx and Dy share
+    hub lacks come first, each part in order of its hashes, but after both parts those that the
+    hub's witness differs in too, one class of the hub's component if any: most near copies of one
+    text share what sets them apart from the hub's own edits. ``at`` is the place of ``key`` in that
+    list. A pair x, y differs in k = most(|x| + |y|) at most, so that Dx and Dy share
     (dx + dy - k) / 2 or more, and x's first (dx - dy + k) / 2 + 1 keys or fewer hold one of them.
     If dx + dy <= k, both are similar to the hub, and so in its component. A class of the hub's
     component has partners outside only, which differ from the hub in more than a similar set can.
     ``first``: whether the key can be shared as the one of a pair with the smaller d.
     """
     t = config.threshold
-    salts = near.groupBy("hub").agg(F.expr(f"cast(count(1) div {HUB_ROWS} as int) + 1").alias("salts"), F.max("n").alias("largest"))
+    salts = near.groupBy("hub").agg(F.expr(f"cast(count(1) div {HUB_ROWS} as int) + 1").alias("salts"), F.max("n").alias("largest"), F.max_by("cls", F.struct(F.col("comp") == F.col("home"), "cls")).alias("witness"))
     dealt = near.join(salts, "hub").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
-    hubs = salts.drop("largest").join(sets.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("items").alias("base")), "hub").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
-    met = dealt.drop("salts", "n").join(sets, "cls").join(hubs, ["hub", "salt"])
+    hubs = salts.drop("largest").join(sets.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("items").alias("base")), "hub").join(sets.select(F.col("cls").alias("witness"), F.col("items").alias("seen")), "witness").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
+    hubs = hubs.withColumn("seen", F.concat(F.array_except("seen", "base"), F.array_except("base", "seen"))).drop("witness")
+    met = dealt.drop("salts", "n", "witness").join(sets, "cls").join(hubs, ["hub", "salt"])
     differ = F.concat(F.array_except("items", "base"), F.array_except("base", "items"))
-    rows = met.select("hub", "cls", "comp", "home", "n", "hub_n", "largest", differ.alias("differ")).withColumn("d", F.size("differ"))
+    met = met.withColumn("differ", differ).withColumn("differ", F.concat(F.array_except("differ", "seen"), F.array_intersect("differ", "seen")))
+    rows = met.select("hub", "cls", "comp", "home", "n", "hub_n", "largest", "differ").withColumn("d", F.size("differ"))
     k = most_apart(F.col("n") + F.least(F.floor(F.col("n") * 100 / t), "largest"), t)
     beyond = most_apart(F.ceil(F.col("n") * t / 100) + F.col("hub_n"), t)
     length = F.when(F.col("comp") == F.col("home"), F.floor((k - beyond - 1 + F.col("d")) / 2) + 1).otherwise(k + 1)
@@ -449,7 +501,7 @@ def link_components(df: DataFrame, config: JaccardConfig = JaccardConfig()) -> D
     known, seed = docs.where(F.col("doc_id").isNotNull()), 0
     while True:
         prints = scratch.keep(fingerprints(docs, config, seed))
-        classes = prints.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("low"), F.max("check").alias("high"))
+        classes = prints.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
         classes = scratch.keep(classes)
         if not classes.where("low <> high").limit(1).count():
             break
@@ -459,11 +511,16 @@ def link_components(df: DataFrame, config: JaccardConfig = JaccardConfig()) -> D
     rows = signature_rows(known, config, seed)
     rows = rows.select("sig", "cls", F.min("cls").over(by).alias("low"), F.max("cls").over(by).alias("high")).where("low <> high").select("sig", "cls").distinct()
     rows = scratch.keep(rows)
-    # signatures with the same classes count once
+    # signatures of a band with the same classes are kept once
     digest = F.bit_xor(F.xxhash64("cls", F.lit(7)))
     rows_of = rows.select("sig", "cls", digest.over(by).alias("who"), F.count(F.lit(1)).over(by).alias("m"))
-    members = scratch.keep(rows_of.groupBy("who", "m", "cls").agg(F.min("sig").alias("sig")).select("sig", "m", "cls"))
+    band = F.col("sig").bitwiseAND(F.lit(BAND))
+    members = rows_of.groupBy("who", "m", "cls", band.alias("band")).agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("times")).select("sig", "m", "times", "cls")
+    members = scratch.keep(members)
     scratch.drop(rows)
+    if config.spare:
+        whole, members = members, scratch.keep(thinned(members, classes.select("cls", "n"), config))
+        scratch.drop(whole)
     company = members.groupBy("cls").agg(F.sum("m").alias("company"))
     reps = scratch.keep(classes.select("cls", "doc_id").join(company, "cls"))
     buckets = max(12, buckets_for(reps.count()))
@@ -496,15 +553,15 @@ def link_components(df: DataFrame, config: JaccardConfig = JaccardConfig()) -> D
         placed = scratch.keep(placed.join(sketches.select("cls", "n"), "cls"))
         large = placed.where(F.col("m") > config.paired)
         home = large.select("hub").distinct().join(comp.withColumnRenamed("id", "hub"), "hub", "left").select("hub", F.coalesce("comp", "hub").alias("home"))
-        split = scratch.keep(hubs_to_split(large, home, config))
+        each = scratch.keep(large.where(F.col("cls") != F.col("hub")).select("hub", "cls", "comp", "n").distinct().join(home, "hub"))
+        split = scratch.keep(hubs_to_split(large, each, config))
         paired = placed.where(F.col("m") <= config.paired).unionByName(large.join(split, "hub", "left_anti").select(placed.columns))
-        one, two = (paired.select("sig", *(F.col(c).alias(f"{c}{i}") for c in ("cls", "comp", "n"))) for i in (1, 2))
-        few = one.join(two, (one["sig"] == two["sig"]) & (F.col("comp1") != F.col("comp2")) & (F.col("cls1") < F.col("cls2")) & can_link(F.col("n1"), F.col("n2"), config.threshold)).select(F.col("cls1").alias("a"), F.col("cls2").alias("b"))
-        many = scratch.keep(large.where(F.col("cls") != F.col("hub")).join(split, "hub", "left_semi").select("hub", "cls", "comp", "n").distinct().join(home, "hub"))
+        near = sharing(paired, sketches, config)
+        many = scratch.keep(each.join(split, "hub", "left_semi"))
         if many.limit(1).count():
             keys = difference_keys(many, whole_sets(many.select("cls").union(many.select("hub"))), config)
-            few = few.union(pairs_by_differences(scratch.keep(keys), config))
-        near = scratch.keep(alike(few.distinct(), sketches, config))
+            near = near.union(alike(pairs_by_differences(scratch.keep(keys), config).distinct(), sketches, config))
+        near = scratch.keep(near.distinct())
         if near.limit(1).count():
             more = scratch.keep(verified(near, whole_sets(ends(near)), config))
             comp = components(reps, scratch.keep(links.union(more)), scratch)

@@ -139,3 +139,59 @@ def test_signatures_and_sketches_lose_nothing(seed, spare):
         bits = min(len(x), len(y))
         x, y = (z.reshape(-1, bits).sum(0) % 2 for z in (x, y))
         assert (x != y).sum() <= bands.most(len(a) + len(b))
+
+
+def test_near_misses_of_one_text_meet_rarely(spark, monkeypatch):
+    rng = random.Random(13)
+    base, rows, met = [f"w{i}" for i in range(120)], [], []
+    for i in range(300):  # own edits of one text: pairs are unlike, but share what sets them apart from any one of them
+        w = list(base)
+        for k in rng.sample(range(120), 4):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, rows[i][1] + " z") for i in range(20)]
+    by_differences = nd.pairs_by_differences
+
+    def counted(keys, config):
+        pairs = by_differences(keys, config)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(nd, "pairs_by_differences", counted)
+    config = nd.JaccardConfig(words=5, threshold=80, spare=0.05, paired=5, prefer=1e9)
+    got = nd.link_components(spark.createDataFrame(rows, "doc_id long, text string"), config).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(truth(rows, 5, 80))
+    assert len(met) == 1 and met[0] < 3 * len(rows)  # of 51,040 pairs
+
+
+@pytest.mark.parametrize("spare", [0.0, 0.05, 0.3])
+def test_as_many_signatures_are_shared_as_said(spare):
+    rng = np.random.default_rng(7)
+    bands, least = nd.Bands(nd.JaccardConfig(words=5, threshold=80, spare=spare)), 99
+    for _ in range(400):
+        n = int(rng.integers(4, 400))
+        a = nd.distinct(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        out = int(rng.integers(0, n // 9 + 1))
+        b = nd.distinct(np.concatenate([a[out:], rng.integers(0, 1 << 63, int(rng.integers(0, n // 9 + 1)), dtype=np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        if 100 * common < 80 * (len(a) + len(b) - common) or common == len(a) == len(b):
+            continue
+        top = bands.of(max(len(a), len(b)))
+        shared = len(np.intersect1d(bands.signatures(a, top), bands.signatures(b, top)))
+        for s in (a, b):  # what a class of this size counts on, as ``thinned`` does
+            both = len(s) + min(bands.bounds(top)[1], len(s) * 100 // 80)
+            least = min(least, shared - (bands.shared(top) - both * 20 // 180))
+    assert least >= 0
+
+
+def test_classes_leave_their_largest_groups(spark):
+    config = nd.JaccardConfig(words=5, threshold=80, spare=0.3)
+    band = nd.Bands(config).of(100)
+    share = nd.Bands(config).shared(band) - (100 + min(nd.Bands(config).bounds(band)[1], 125)) * 20 // 180
+    sig = lambda i: i << 8 | band
+    # class 1 shares signature i with i other classes, which can't do without theirs
+    rows = [(sig(i), i + 1, 1, 1) for i in range(1, share + 2)] + [(sig(i), i + 1, 1, 1000 * i + j) for i in range(1, share + 2) for j in range(i)]
+    rows += [(sig(500 + c), 9999, share, c) for _, _, _, c in rows if c > 1]
+    members = spark.createDataFrame(rows, "sig long, m long, times long, cls long")
+    got = nd.thinned(members, members.select("cls").distinct().selectExpr("cls", "100L as n"), config)
+    assert sorted(r.sig >> 8 for r in got.where("cls = 1").collect()) == [1, 2]
